@@ -22,7 +22,7 @@ def _signature(edges: DataFrame) -> tuple:
 def _star(pairs: DataFrame) -> DataFrame:
     """For each u the least vertex among u and its neighbours, joined to every pair (u, v)."""
     least = checkpointed(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-    return pairs.join(least.hint("merge"), "u")
+    return pairs.join(least, "u")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
