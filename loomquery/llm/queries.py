@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomquery.llm import contamination, packing, simhash, templates, toxicity
+from loomquery.llm import contamination, language, maxscore, packing, pii, quality, simhash, templates, toxicity, units
 from loomquery.llm.common import fold
 from loomquery.session import table
 
@@ -18,6 +18,31 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    got = quality.score(docs, model)
+    return got.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_passages", "top_passage")
+
+
+def op2_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op3_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.repeated_units(table(spark, sf_dir, "documents")).drop("__row")
+
+
+def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = language.label(docs, language.train(docs, fold("doc_id", 3) != 1))
+    return got.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.report(table(spark, sf_dir, "documents"))
 
@@ -43,8 +68,8 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_log_templates, op7_wu_manber, op8_toxicity_fm, op9_best_fit, op10_simhash_bktree)}
+    return {f.__name__: f for f in (op1_attention_quality, op2_information_pii, op3_unit_dedup, op4_crf_language, op5_maxscore, op6_log_templates, op7_wu_manber, op8_toxicity_fm, op9_best_fit, op10_simhash_bktree)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_log_templates": templates.ORACLE}
+    return {"op5_maxscore": maxscore.ORACLE, "op6_log_templates": templates.ORACLE}
