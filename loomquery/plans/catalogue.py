@@ -1,35 +1,14 @@
-"""Registry of the engine's queries and of their DuckDB counterparts."""
+"""All queries of the engine; importing the modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
-
-from loomquery.session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Add a query, with the SQL that DuckDB can run for the same rows."""
-
-    def add(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return add
+from loomquery.plans import assets, ranking, scoring, streams, structure, textual, vectors  # noqa: F401
+from loomquery.plans.registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    return SQL
