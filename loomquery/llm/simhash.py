@@ -242,4 +242,5 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     kept_roots = tops.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
     alone = nodes.join(comp.select(F.col("node").alias("fp")), "fp", "left_anti").select(F.col("least.row").alias("row"))
     kept = materialize(alone.union(kept_roots), "kept-rows")
-    return rows.join(kept, rows["__row"] == kept["row"], "left_semi").drop("__row")
+    # by hash at every size: the kept rows grow with the input, and sorting whole texts would gain nothing
+    return rows.join(kept.hint("shuffle_hash"), rows["__row"] == kept["row"], "left_semi").drop("__row")
