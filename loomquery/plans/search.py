@@ -18,7 +18,7 @@ f AS (SELECT *, (0.35 * d + 0.25 * c + 0.20 * p) / 0.80 AS base FROM r WHERE rd
 s AS (SELECT query_id, id, array_to_string(list_sort(list_filter([CASE WHEN rd <= 40 THEN 'dino' END, CASE WHEN rc <= 40 THEN 'clip' END, CASE WHEN h THEN 'hash' END], lambda x: x IS NOT NULL)), ',') AS layers,
  round(CASE WHEN p >= 0.98 THEN greatest(base, 0.98) ELSE least(base + CASE WHEN family = qf THEN 0.12 ELSE 0 END, CASE WHEN family = qf THEN 0.75 WHEN abs(family - qf) = 1 THEN 0.60 ELSE 0.40 END) END::DOUBLE, 10) AS score FROM f),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s)
-SELECT *, CASE WHEN score >= 0.95 THEN 'exact' WHEN score >= 0.85 THEN 'near' WHEN score >= 0.70 THEN 'similar' WHEN score >= 0.50 THEN 'style' ELSE 'weak' END AS category, score >= 0.25 AS visible FROM k WHERE rank <= 40"""
+SELECT *, CASE WHEN score >= 0.95 THEN 'exact' WHEN score >= 0.85 THEN 'near' WHEN score >= 0.70 THEN 'similar' WHEN score >= 0.50 THEN 'style' ELSE 'weak' END AS category, score >= 0.40 AS visible FROM k WHERE rank <= 40"""
 
 
 def _assets(spark, sf):
@@ -32,7 +32,7 @@ def image_search(spark, sf):
     """Five stored pictures against the archive: layers, fusion, family gate, ranking, display flag."""
     a = _assets(spark, sf)
     q = a.where("id < 5").select(F.col("id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in ("dino", "clip", "phash", "family")])
-    return S.image_search(a, q, S.SearchQuery(threshold=0.25, top_k=40))
+    return S.image_search(a, q, S.SearchQuery(top_k=40))
 
 
 def _text_sql() -> str:
