@@ -71,7 +71,8 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", max_share: float = M
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
     found = recurring_lines(rows.select("__row", text_col), text_col)
     hits = found.groupBy("__row").agg(F.sum("n_tokens").alias("__hit"), F.collect_set("pos").alias("__pos"), F.countDistinct("template").alias("__n_templates"))
-    joined = rows.join(materialize(hits, "hits"), "__row", "left")
+    # by hash at every size: the hits grow with the input, and sorting whole texts would gain nothing
+    joined = rows.join(materialize(hits, "hits").hint("shuffle_hash"), "__row", "left")
     lines = F.split(text_col, "\n")
     n_tokens = F.aggregate(lines, F.lit(0), lambda s, x: s + F.size(F.filter(F.split(x, _SPACE), lambda t: t != "")))
     drop = F.when(F.col("__hit").isNull(), F.lit(False)).otherwise(F.col("__hit") <= F.lit(max_share) * n_tokens)
