@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from loomquery.session import materialize
 
 DEPTH, MIN_DOCS, MIN_FIXED, MAX_SHARE = 3, 5, 0.5, 0.5
-#: Leaves or lines that may be broadcast (each is a few bytes); beyond it the joins shuffle.
+#: Leaves or templates that may be broadcast (a hash each, at most 64 bytes); beyond it the joins shuffle.
 BROADCAST_ROWS = 200_000
 
 _SPACE = r"[ \t\r\f\x0B]+"
@@ -46,20 +46,23 @@ def recurring_lines(rows: DataFrame, text_col: str = "text", min_docs: int = MIN
     lines = _numbered_lines(rows, text_col)
     per_doc = lines.select("__row", "leaf").groupBy("__row").agg(F.collect_set("leaf").alias("leaves")).select(F.explode("leaves").alias("leaf"))
     busy = materialize(per_doc.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
-    inside = lines.join(_maybe_broadcast(busy), "leaf", "left_semi").select("__row", "pos", "leaf", F.transform("tokens", _mask).alias("tokens"))
-    inside = materialize(inside, "leaf-lines")
-    tokens = inside.select("__row", "leaf", F.posexplode("tokens").alias("at", "token")).where("token <> '<*>'")
-    # a document counts once for a token at a place, however often it repeats the line
-    once = tokens.groupBy("__row").agg(F.collect_set(F.struct("leaf", "at", "token")).alias("s")).select(F.explode("s").alias("s")).select("s.*")
-    fixed = once.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
-    by_leaf = fixed.select("leaf", F.xxhash64("at", "token").alias("h")).groupBy("leaf").agg(F.collect_set("h").alias("fixed"))
-    by_leaf = materialize(by_leaf, "fixed-tokens")
-    generalised = inside.join(_maybe_broadcast(by_leaf), "leaf").select(
-        "__row", "pos", "leaf",
-        F.transform("tokens", lambda t, i: F.when(F.array_contains("fixed", F.xxhash64(i, t)), t).otherwise(F.lit("<*>"))).alias("tokens"),
-    )
-    kept = F.size(F.filter("tokens", lambda t: t != "<*>"))
-    strong = generalised.where(kept >= F.lit(min_fixed) * F.size("tokens")).select("__row", "pos", F.size("tokens").alias("n_tokens"), F.sha2(F.array_join("tokens", " "), 256).alias("template"))
+    masked = F.array_join(F.transform("tokens", _mask), " ")
+    inside = lines.join(_maybe_broadcast(busy), "leaf", "left_semi").select("__row", "pos", "leaf", masked.alias("line"))
+    inside = materialize(inside.withColumn("h", F.xxhash64("line")), "leaf-lines")
+    # documents with the same lines in a leaf (copies, boilerplate) are counted together, so each distinct set is taken apart once
+    per_doc = inside.groupBy("__row", "leaf").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    sets = materialize(per_doc.groupBy("leaf", "lines").agg(F.count(F.lit(1)).alias("n")), "line-sets")
+    placed = F.transform("lines", lambda x: F.transform(F.split(x, " "), lambda t, i: F.struct(i.alias("place"), t.alias("token"))))
+    tokens = sets.select("leaf", "n", F.explode(F.array_distinct(F.flatten(placed))).alias("x")).where("x.token <> '<*>'")
+    fixed = tokens.groupBy("leaf", "x.place", "x.token").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("stays"))
+    fixed = materialize(fixed, "fixed-tokens")
+    distinct = sets.select("leaf", F.explode("lines").alias("line")).distinct()
+    each = distinct.select("leaf", F.xxhash64("line").alias("h"), F.posexplode(F.split("line", " ")).alias("place", "token"))
+    field = F.struct("place", F.when(F.col("stays"), F.col("token")).otherwise(F.lit("<*>")).alias("field"))
+    general = each.join(fixed, ["leaf", "place", "token"], "left").groupBy("leaf", "h").agg(F.sort_array(F.collect_list(field)).alias("fields"), F.count("stays").alias("kept"))
+    template = F.sha2(F.array_join(F.transform("fields", lambda x: x["field"]), " "), 256)
+    strong_lines = general.where(F.col("kept") >= F.lit(min_fixed) * F.size("fields")).select("leaf", "h", F.size("fields").alias("n_tokens"), template.alias("template"))
+    strong = inside.select("__row", "pos", "leaf", "h").join(materialize(strong_lines, "strong-lines"), ["leaf", "h"]).select("__row", "pos", "n_tokens", "template")
     strong = materialize(strong, "templates")
     counted = strong.groupBy("__row").agg(F.collect_set("template").alias("t")).select(F.explode("t").alias("template")).groupBy("template").agg(F.count(F.lit(1)).alias("n"))
     often = materialize(counted.where(F.col("n") >= min_docs).select("template"), "recurring")
