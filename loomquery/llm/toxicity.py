@@ -1,8 +1,8 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms of a document are its distinct words and the 4- and 5-byte stems of longer words, hashed by crc32. Terms that
-are associated with the label (z score of their smoothed log odds over the distinct training texts) become the
-model's inputs; the machine y = b + sum w_i + 1/2 (|sum v_i|^2 - sum |v_i|^2) then learns a weight for every input
+speak for the label (z score of their smoothed log odds over the distinct training texts) become the model's inputs;
+a tenth of a text's terms is left out at random in each epoch, so that a text with a single one is caught too. The machine y = b + sum w_i + 1/2 (|sum v_i|^2 - sum |v_i|^2) then learns a weight for every input
 and, through the factors, one for every pair of them, such as an insult together with a group.
 
 Nulls and empty texts have no terms and take the bias' score; a text of any length is scored whole; repeated rows and
@@ -25,8 +25,8 @@ from loomquery.session import materialize
 #: Bounds of the training sample: labelled rows, and bytes of a row that is learnt from.
 TRAIN_ROWS, TRAIN_BYTES = 20_000, 1_000_000
 #: Terms need this many training texts and this z score; at most MAX_TERMS of them become inputs.
-MIN_DF, MIN_Z, MAX_TERMS = 4, 2.6, 20_000
-FACTORS, EPOCHS, CACHE = 8, 200, 400_000
+MIN_DF, MIN_Z, MAX_TERMS = 4, 3.0, 20_000
+FACTORS, EPOCHS, LEFT_OUT, CACHE = 8, 200, 0.1, 400_000
 
 
 def term_hashes(word: bytes) -> tuple[int, ...]:
@@ -83,12 +83,14 @@ def fit_machine(feats: list[list[int]], y: np.ndarray, n_terms: int, seed: int =
     theta = [np.array([np.log(rate / (1 - rate))]), w, v]
     m, s = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     sizes = np.array([len(f) for f in feats])
-    idx = np.fromiter((i for f in feats for i in f), dtype=np.int64, count=int(sizes.sum()))
-    doc, n = np.repeat(np.arange(len(feats)), sizes), len(feats)
+    every = np.fromiter((i for f in feats for i in f), dtype=np.int64, count=int(sizes.sum()))
+    whose, n = np.repeat(np.arange(len(feats)), sizes), len(feats)
     weight = np.where(y > 0, 0.5 / rate, 0.5 / (1 - rate)) ** 0.5
     weight /= weight.sum()
     for t in range(1, EPOCHS + 1):
         b, w, v = theta
+        here = rng.random(len(every)) >= LEFT_OUT
+        idx, doc = every[here], whose[here]
         sums = np.stack([np.bincount(doc, weights=v[idx, k], minlength=n) for k in range(FACTORS)], 1)
         squares = sum(np.bincount(doc, weights=v[idx, k] ** 2, minlength=n) for k in range(FACTORS))
         p = 1 / (1 + np.exp(-np.clip(b[0] + np.bincount(doc, weights=w[idx], minlength=n) + 0.5 * ((sums**2).sum(1) - squares), -30, 30)))
@@ -112,7 +114,7 @@ def fit(sample: DataFrame) -> Machine:
         rate = 1e-9 if n == 0 else min(max(p / n, 1e-9), 1 - 1e-9)
         return Machine({}, float(np.log(rate / (1 - rate))), np.zeros(0), np.zeros((0, FACTORS)))
     pos, neg = F.col("pos") + 0.5, F.col("df") - F.col("pos") + 0.5
-    z = F.abs(F.log(pos / F.lit(p + 1.0)) - F.log(neg / F.lit(n - p + 1.0))) / F.sqrt(1 / pos + 1 / neg)
+    z = (F.log(pos / F.lit(p + 1.0)) - F.log(neg / F.lit(n - p + 1.0))) / F.sqrt(1 / pos + 1 / neg)
     top = (
         arrow_map(sample, _count_terms, "term long, pos long, df long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("df").alias("df"))
         .where(F.col("df") >= MIN_DF).withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()
