@@ -53,7 +53,7 @@ def normalized(a: Column | str, floor: float = 1e-8) -> Column:
     """The vector scaled to unit length; the norm is at least `floor`."""
     a = col(a)
     n = F.greatest(norm(a), F.lit(floor))
-    return F.transform(a, lambda x: x.cast("double") / n)
+    return F.flatten(F.transform(F.array(n), lambda m: F.transform(a, lambda x: x.cast("double") / m)))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -67,7 +67,8 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 def centred(a: Column | str) -> Column:
     a = col(a)
     mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(a)
-    return F.transform(a, lambda x: x.cast("double") - mean)
+    # the mean goes through a one-element array, so that it is worked out once and not for every component
+    return F.flatten(F.transform(F.array(mean), lambda m: F.transform(a, lambda x: x.cast("double") - m)))
 
 
 def correlation(a: Column | str, b: Column | str) -> Column:

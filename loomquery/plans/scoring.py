@@ -13,12 +13,12 @@ from loomquery.session import table
 ANCHORS = [(0.0, 0.0), (0.1, 0.2), (0.2, 0.45), (0.3, 0.7), (0.4, 0.85), (0.6, 0.93)]
 
 _SIM = "round(greatest(0, list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[])), 6)"
-_BASE = f"b AS (SELECT q.vec_id AS query_id, p.vec_id, p.label, q.label AS qlabel, {_SIM} AS sim FROM embeddings q JOIN embeddings p ON q.vec_id < 10 AND q.vec_id <> p.vec_id)"
+_BASE = f"b AS (SELECT q.vec_id AS query_id, p.vec_id, p.label, q.label AS qlabel, {_SIM} AS sim FROM embeddings q JOIN embeddings p ON q.vec_id % 20 = 0 AND q.vec_id <> p.vec_id)"
 
 
 def _base(spark, sf):
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").alias("qlabel"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").alias("qlabel"))
     pairs = topk.pair_up(q, e).where("query_id <> vec_id")
     return pairs.select("query_id", "vec_id", "label", "qlabel", F.round(K.cosine("query_vec", "embedding"), 6).alias("sim"))
 
@@ -123,15 +123,15 @@ def _hash_sql(a: str, b: str) -> str:
     return f"(bit_count(xor({half(a, 1)}, {half(b, 1)})) + bit_count(xor({half(a, 9)}, {half(b, 9)})))"
 
 
-@register("hamming_protected", f"WITH h AS (SELECT doc_id, substr(md5(text), 1, 16) AS h FROM documents), q AS (SELECT doc_id AS qid, h AS qh FROM h WHERE doc_id < 20) SELECT qid, doc_id, {_hash_sql('h', 'qh')}::INT AS bits FROM h JOIN q ON doc_id <> qid AND {_hash_sql('h', 'qh')} <= 20")
+@register("hamming_protected", f"WITH h AS (SELECT doc_id, substr(md5(text), 1, 16) AS h FROM documents), q AS (SELECT doc_id AS qid, h AS qh FROM h WHERE doc_id % 20 = 0) SELECT qid, doc_id, {_hash_sql('h', 'qh')}::INT AS bits FROM h JOIN q ON doc_id <> qid AND {_hash_sql('h', 'qh')} <= 20")
 def hamming_protected(spark, sf):
-    """Rows whose 64-bit hash lies within 20 bits of one of 20 stated queries."""
+    """Rows whose 64-bit hash lies within 20 bits of one of the stated queries."""
     h = table(spark, sf, "documents").select("doc_id", F.substring(F.md5(F.col("text").cast("binary")), 1, 16).alias("h"))
-    q = h.where("doc_id < 20").select(F.col("doc_id").alias("qid"), F.col("h").alias("qh"))
+    q = h.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.col("h").alias("qh"))
     return topk.pair_up(q, h).where("doc_id <> qid").withColumn("bits", K.hamming_hex("h", "qh")).where("bits <= 20").select("qid", "doc_id", "bits")
 
 
-@register("hash_score_ladder", f"""WITH h AS (SELECT doc_id, substr(md5(text), 1, 16) AS p, substr(md5(text || 'd'), 1, 16) AS d, substr(md5(text || 'w'), 1, 16) AS w, n_chars FROM documents), q AS (SELECT * FROM h WHERE doc_id < 5),
+@register("hash_score_ladder", f"""WITH h AS (SELECT doc_id, substr(md5(text), 1, 16) AS p, substr(md5(text || 'd'), 1, 16) AS d, substr(md5(text || 'w'), 1, 16) AS w, n_chars FROM documents), q AS (SELECT * FROM h WHERE doc_id % 20 = 0),
 s AS (SELECT q.doc_id AS qid, h.doc_id, greatest(0, 1 - {_hash_sql('h.p', 'q.p')} / 64) AS p, greatest(0, 1 - {_hash_sql('h.d', 'q.d')} / 64) AS d, greatest(0, 1 - {_hash_sql('h.w', 'q.w')} / 64) AS w FROM h JOIN q ON h.doc_id <> q.doc_id)
 SELECT qid, doc_id, round(0.40 * p + 0.25 * d + 0.15 * w + 0.20 * greatest(p, d, w), 10)::DOUBLE AS tier_a, round(CASE WHEN p >= 0.98 THEN greatest(0.98, 0.40 * p + 0.25 * d + 0.15 * w + 0.05 + 0.05) ELSE 0.40 * p + 0.25 * d + 0.15 * w + 0.05 + 0.05 END, 10)::DOUBLE AS classical,
  round(CASE WHEN p >= 0.92 AND d >= 0.94 THEN 0.99 WHEN p >= 0.95 AND d >= 0.90 THEN 0.95 WHEN d >= 0.98 AND w >= 0.90 AND p >= 0.88 THEN 0.95 WHEN p >= 0.88 AND d >= 0.88 AND w >= 0.88 THEN 0.88 ELSE 0 END, 10)::DOUBLE AS floor FROM s""")
@@ -139,7 +139,7 @@ def hash_score_ladder(spark, sf):
     """Three hash similarities blended, the classical score, and the floor of protected rows."""
     dig = lambda s: F.substring(F.md5(F.concat("text", F.lit(s)).cast("binary")), 1, 16)
     h = table(spark, sf, "documents").select("doc_id", dig("").alias("p"), dig("d").alias("d"), dig("w").alias("w"))
-    q = h.where("doc_id < 5").select(*[F.col(c).alias(f"q_{c}") for c in h.columns])
+    q = h.where("doc_id % 20 = 0").select(*[F.col(c).alias(f"q_{c}") for c in h.columns])
     x = topk.pair_up(q, h).where("doc_id <> q_doc_id").select(F.col("q_doc_id").alias("qid"), "doc_id", *[K.phash_similarity(c, f"q_{c}").alias(c) for c in "pdw"])
     p, d, w = map(F.col, "pdw")
     half = F.lit(0.5)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomquery.functions import kernels as K
 from loomquery.operators import search as S
 from loomquery.operators import topk
+from loomquery.operators.components import connected_components
 from loomquery.plans.registry import register
 from loomquery.plans.scoring import _hash_sql
 from loomquery.session import table
 
 _COS = "round(greatest(0, coalesce(list_cosine_similarity({0}, {1}), 0)), 6)"
 _IMG = f"""WITH a AS (SELECT doc_id AS id, embedding[1:32]::DOUBLE[] AS dino, embedding[33:64]::DOUBLE[] AS clip, substr(md5(text), 1, 16) AS phash, label AS family FROM documents JOIN embeddings ON doc_id = vec_id),
-p AS (SELECT q.id AS query_id, a.id, a.family, q.family AS qf, round(1 - {_hash_sql('a.phash', 'q.phash')} / 64, 6) AS p, {_COS.format('a.dino', 'q.dino')} AS d, {_COS.format('a.clip', 'q.clip')} AS c, substr(a.phash, 1, 2) = substr(q.phash, 1, 2) AS h FROM a JOIN a q ON q.id < 5 AND q.id <> a.id),
+p AS (SELECT q.id AS query_id, a.id, a.family, q.family AS qf, round(1 - {_hash_sql('a.phash', 'q.phash')} / 64, 6) AS p, {_COS.format('a.dino', 'q.dino')} AS d, {_COS.format('a.clip', 'q.clip')} AS c, substr(a.phash, 1, 2) = substr(q.phash, 1, 2) AS h FROM a JOIN a q ON q.id % 20 = 0 AND q.id <> a.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, id) AS rd, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rc FROM p),
 f AS (SELECT *, (0.35 * d + 0.25 * c + 0.20 * p) / 0.80 AS base FROM r WHERE rd <= 40 OR rc <= 40 OR h),
 s AS (SELECT query_id, id, array_to_string(list_sort(list_filter([CASE WHEN rd <= 40 THEN 'dino' END, CASE WHEN rc <= 40 THEN 'clip' END, CASE WHEN h THEN 'hash' END], lambda x: x IS NOT NULL)), ',') AS layers,
@@ -29,9 +31,9 @@ def _assets(spark, sf):
 
 @register("image_search", _IMG)
 def image_search(spark, sf):
-    """Five stored pictures against the archive: layers, fusion, family gate, ranking, display flag."""
+    """Every twentieth picture against the archive: layers, fusion, family gate, ranking, display flag."""
     a = _assets(spark, sf)
-    q = a.where("id < 5").select(F.col("id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in ("dino", "clip", "phash", "family")])
+    q = a.where("id % 20 = 0").select(F.col("id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in ("dino", "clip", "phash", "family")])
     return S.image_search(a, q, S.SearchQuery(top_k=40))
 
 
@@ -57,29 +59,28 @@ def below_threshold(spark, sf):
     return topk.first_per_key(got, ["query_id"], F.desc("score"), "id", k=5, rank="n").select("query_id", "id", "n")
 
 
-@register("open_file_relations", """WITH d AS (SELECT doc_id, md5(text) AS h, substr(text, 1, 40) AS b, source, lang, n_chars FROM documents), q AS (SELECT doc_id AS qid, h AS qh, b AS qb, source AS qs, lang AS ql, n_chars AS qn FROM d WHERE doc_id < 20)
+@register("open_file_relations", """WITH d AS (SELECT doc_id, md5(text) AS h, substr(text, 1, 40) AS b, source, lang, n_chars FROM documents), q AS (SELECT doc_id AS qid, h AS qh, b AS qb, source AS qs, lang AS ql, n_chars AS qn FROM d WHERE doc_id % 20 = 0)
 SELECT qid, doc_id, CASE WHEN h = qh THEN 'same' WHEN b = qb THEN 'variant' ELSE 'similar' END AS relation FROM d JOIN q ON doc_id <> qid AND (h = qh OR b = qb OR (source = qs AND lang = ql AND n_chars = qn))""")
 def open_file_relations(spark, sf):
     """Relations of open files, each row claimed by the strongest: equal text, same beginning, same scope and size."""
     d = table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"), F.substring("text", 1, 40).alias("b"), F.concat_ws("|", "source", "lang", "n_chars").alias("s"))
-    q = d.where("doc_id < 20").select(F.col("doc_id").alias("qid"), *[F.col(c).alias(f"q{c}") for c in "hbs"])
+    q = d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), *[F.col(c).alias(f"q{c}") for c in "hbs"])
     every = None
     for tier, c in enumerate("hbs"):
-        one = d.join(F.broadcast(q), F.col(c) == F.col(f"q{c}")).where("doc_id <> qid").select("qid", "doc_id", F.lit(tier).alias("tier"))
+        one = d.join(q, F.col(c) == F.col(f"q{c}")).where("doc_id <> qid").select("qid", "doc_id", F.lit(tier).alias("tier"))
         every = one if every is None else every.unionByName(one)
     name = F.element_at(F.array(*map(F.lit, ["same", "variant", "similar"])), F.col("tier") + 1)
     return every.groupBy("qid", "doc_id").agg(F.min("tier").alias("tier")).select("qid", "doc_id", name.alias("relation"))
 
 
-@register("identity_merge", """WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 100), p AS (SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.28), s AS (SELECT u, v FROM p UNION SELECT v, u FROM p),
-r(id, g) AS (SELECT vec_id, vec_id FROM e UNION SELECT s.u, r.g FROM r JOIN s ON s.v = r.id) SELECT id AS vec_id, min(g) AS person FROM r GROUP BY id""")
+@register("identity_merge", """WITH RECURSIVE u AS (SELECT label, unnest(embedding) AS x, unnest(range(64)) AS d FROM embeddings), m AS (SELECT label, d, avg(x::DOUBLE) AS x FROM u GROUP BY ALL), e AS (SELECT label, list(x ORDER BY d) AS v FROM m GROUP BY label),
+p AS (SELECT a.label AS u, b.label AS v FROM e a JOIN e b ON a.label < b.label AND list_cosine_similarity(a.v, b.v) >= 0.1), s AS (SELECT u, v FROM p UNION SELECT v, u FROM p),
+r(id, g) AS (SELECT label, label FROM e UNION SELECT s.u, r.g FROM r JOIN s ON s.v = r.id) SELECT id AS label, min(g) AS person FROM r GROUP BY id""")
 def identity_merge(spark, sf):
-    """Observations joined into persons where their vectors agree (one review batch of 100)."""
-    from loomquery.functions import kernels as K
-    from loomquery.operators import relations
-    from loomquery.operators.components import connected_components
-
-    e = table(spark, sf, "embeddings").where("vec_id < 100").select("vec_id", "embedding")
-    pairs = relations.blocked_pairs(e, F.lit(0), "vec_id", ["embedding"]).where(K.cosine("a_embedding", "b_embedding") >= 0.28)
-    comp = connected_components(pairs.select(F.col("b_id").alias("u"), F.col("a_id").alias("v"))).withColumnRenamed("node", "vec_id")
-    return e.select("vec_id").join(comp, "vec_id", "left").select("vec_id", F.coalesce("root", "vec_id").alias("person"))
+    """Persons joined where their centroids agree, directly or through others."""
+    e = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("d", "x")).groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    c = e.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("v"))
+    other = c.select(F.col("label").alias("other"), F.col("v").alias("w"))
+    pairs = topk.pair_up(other, c).where((F.col("label") < F.col("other")) & (K.cosine("v", "w") >= 0.1))
+    comp = connected_components(pairs.select(F.col("other").alias("u"), F.col("label").alias("v"))).withColumnRenamed("node", "label")
+    return c.select("label").join(comp, "label", "left").select("label", F.coalesce("root", "label").alias("person"))

@@ -111,13 +111,13 @@ def evidence_gate(spark, sf):
     return _scored(spark, sf).where("score >= 0.2").select("l_orderkey", "l_linenumber", tier.alias("tier"))
 
 
-@register("result_layers", f"""WITH {_S}, l AS (SELECT *, CASE WHEN score >= 0.95 THEN 0 WHEN obj AND fam >= 0.8 THEN 1 WHEN hits = 3 THEN 2 WHEN score >= 0.85 THEN 3 WHEN fam >= 0.5 THEN 4 WHEN score >= 0.5 THEN 5 ELSE 6 END::INT AS layer FROM s WHERE l_orderkey < 3000),
+@register("result_layers", f"""WITH {_S}, l AS (SELECT *, CASE WHEN score >= 0.95 THEN 0 WHEN obj AND fam >= 0.8 THEN 1 WHEN hits = 3 THEN 2 WHEN score >= 0.85 THEN 3 WHEN fam >= 0.5 THEN 4 WHEN score >= 0.5 THEN 5 ELSE 6 END::INT AS layer FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY round(score, 9) DESC, l_orderkey, l_linenumber)::INT AS n FROM l) SELECT layer, l_orderkey, l_linenumber, n FROM r WHERE n <= 50""")
 def result_layers(spark, sf):
     """Results by layer as they are shown: each layer's first page of 50."""
     c = F.col
     layer = F.when(c("score") >= 0.95, 0).when(c("obj") & (c("fam") >= 0.8), 1).when(c("hits") == 3, 2).when(c("score") >= 0.85, 3).when(c("fam") >= 0.5, 4).when(c("score") >= 0.5, 5).otherwise(6)
-    l = _scored(spark, sf).where("l_orderkey < 3000").withColumn("layer", layer)  # noqa: E741
+    l = _scored(spark, sf).withColumn("layer", layer)  # noqa: E741
     return topk.first_per_key(l, ["layer"], F.desc(F.round("score", 9)), "l_orderkey", "l_linenumber", k=50, rank="n").select("layer", "l_orderkey", "l_linenumber", "n")
 
 

@@ -34,10 +34,10 @@ def near_dup_classify(spark, sf):
     return j.select("doc_id", F.col("head.doc_id").alias("head"), "copies", relation.alias("relation"))
 
 
-@register("phash_bucket_candidates", "WITH h AS (SELECT doc_id, md5(text) AS h FROM documents), q AS (SELECT doc_id AS qid, substr(h, 1, 2) AS b FROM h WHERE doc_id < 10) SELECT qid, doc_id FROM h JOIN q ON substr(h, 1, 2) = b AND qid <> doc_id")
+@register("phash_bucket_candidates", "WITH h AS (SELECT doc_id, md5(text) AS h FROM documents), q AS (SELECT doc_id AS qid, substr(h, 1, 2) AS b FROM h WHERE doc_id % 20 = 0) SELECT qid, doc_id FROM h JOIN q ON substr(h, 1, 2) = b AND qid <> doc_id")
 def phash_bucket_candidates(spark, sf):
     h = table(spark, sf, "documents").select("doc_id", F.substring(_md5(), 1, 2).alias("b"))
-    q = F.broadcast(h.where("doc_id < 10").withColumnRenamed("doc_id", "qid"))
+    q = h.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid")
     return h.join(q, "b").where("qid <> doc_id").select("qid", "doc_id")
 
 

@@ -1,6 +1,6 @@
 """Vector queries on embeddings: neighbours, boosts, norms, centroids, identities, concepts, clusters.
 
-The query sets are the rows with vec_id < 10, as the reference asks one or a few pictures against the archive.
+The query sets are the rows whose vec_id is divisible by 20; each query runs against all rows.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from loomquery.session import table
 _COS = "greatest(0, coalesce(list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]), 0))"
 
 
-def _queries(pool, n=10):
-    return pool.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+def _queries(pool):
+    return pool.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
 _PAIRS = f"""pairs AS (SELECT q.vec_id AS query_id, p.vec_id, p.label, round({_COS.format(a='q.embedding', b='p.embedding')}, 6) AS sim
-  FROM embeddings q JOIN embeddings p ON q.vec_id < 10 AND q.vec_id <> p.vec_id)"""
+  FROM embeddings q JOIN embeddings p ON q.vec_id % 20 = 0 AND q.vec_id <> p.vec_id)"""
 
 
 @register("knn_topk", f"WITH {_PAIRS} SELECT * FROM (SELECT query_id, vec_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id)::INT AS rank FROM pairs) WHERE rank <= 10")
@@ -31,19 +31,19 @@ def knn_topk(spark, sf):
 
 
 @register("knn_floor_expand", f"""WITH {_PAIRS}, r AS (SELECT query_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM pairs)
-SELECT query_id, CASE WHEN rank <= 20 THEN 20 WHEN rank <= 40 THEN 40 WHEN rank <= 80 THEN 80 ELSE 160 END::INT AS band, count(*) AS n, sum(CASE WHEN sim >= 0.2 THEN 1 ELSE 0 END)::BIGINT AS above, round(quantile_cont(sim, 0.5), 6) AS median
+SELECT query_id, CASE WHEN rank <= 20 THEN 20 WHEN rank <= 40 THEN 40 WHEN rank <= 80 THEN 80 ELSE 160 END::INT AS band, count(*) AS n, sum(CASE WHEN sim >= 0.2 THEN 1 ELSE 0 END)::BIGINT AS above, round(quantile_cont(sim, 0.5), 8) AS median
 FROM r WHERE rank <= 160 GROUP BY ALL""")
 def knn_floor_expand(spark, sf):
     """Bands that an expanding search walks through (20, 40, 80, 160), with each band's yield over the floor."""
     pool = table(spark, sf, "embeddings")
     r = topk.knn(_queries(pool), pool, 160)
     band = F.when(F.col("rank") <= 20, 20).when(F.col("rank") <= 40, 40).when(F.col("rank") <= 80, 80).otherwise(160)
-    return r.groupBy("query_id", band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("sim") >= 0.2).cast("long")).alias("above"), F.round(F.percentile("sim", F.lit(0.5)), 6).alias("median"))
+    return r.groupBy("query_id", band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("sim") >= 0.2).cast("long")).alias("above"), F.round(F.percentile("sim", F.lit(0.5)), 8).alias("median"))
 
 
 @register("vector_boost_fusion", """WITH p AS (SELECT q.vec_id AS query_id, p.vec_id,
  round(greatest(0, list_cosine_similarity(q.embedding[1:32]::DOUBLE[], p.embedding[1:32]::DOUBLE[])), 6) AS d, round(greatest(0, list_cosine_similarity(q.embedding[33:64]::DOUBLE[], p.embedding[33:64]::DOUBLE[])), 6) AS c
- FROM embeddings q JOIN embeddings p ON q.vec_id < 10 AND q.vec_id <> p.vec_id),
+ FROM embeddings q JOIN embeddings p ON q.vec_id % 20 = 0 AND q.vec_id <> p.vec_id),
 a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, vec_id) AS rd, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rc FROM p)
 SELECT query_id, vec_id, round(CASE WHEN rd <= 50 THEN 0.35 * d ELSE 0 END + CASE WHEN rc <= 50 THEN 0.25 * c ELSE 0 END, 9) AS boost FROM a WHERE rd <= 50 OR rc <= 50""")
 def vector_boost_fusion(spark, sf):
@@ -64,11 +64,12 @@ def vector_normalize_audit(spark, sf):
 
 
 @register("hist_correlation", """WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE - list_avg(embedding::DOUBLE[])) AS v FROM embeddings)
-SELECT a.vec_id AS query_id, b.vec_id, round(greatest(0, list_cosine_similarity(a.v, b.v)), 6) AS corr FROM c a JOIN c b ON a.vec_id < 5 AND a.vec_id <> b.vec_id""")
+SELECT a.vec_id AS query_id, b.vec_id, round(greatest(0, list_cosine_similarity(a.v, b.v)), 6) AS corr FROM c a JOIN c b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id""")
 def hist_correlation(spark, sf):
-    pool = table(spark, sf, "embeddings")
-    pairs = topk.pair_up(_queries(pool, 5), pool).where("query_id <> vec_id")
-    return pairs.select("query_id", "vec_id", F.round(K.correlation("query_vec", "embedding"), 6).alias("corr"))
+    # centred once a row, not once a pair
+    pool = table(spark, sf, "embeddings").select("vec_id", K.centred("embedding").alias("embedding"))
+    pairs = topk.pair_up(_queries(pool), pool).where("query_id <> vec_id")
+    return pairs.select("query_id", "vec_id", F.round(K.cosine("query_vec", "embedding"), 6).alias("corr"))
 
 
 #: Prototypes of plain colours.
@@ -93,15 +94,15 @@ def centroid(spark, sf):
     return u.groupBy("label", "d").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
-_CENTRES = "u AS (SELECT label, unnest(embedding) AS x, unnest(range(64)) AS d FROM embeddings WHERE vec_id >= 10), m AS (SELECT label, d, avg(x::DOUBLE) AS x FROM u GROUP BY ALL), c AS (SELECT label, list(x ORDER BY d) AS v FROM m GROUP BY label)"
+_CENTRES = "u AS (SELECT label, unnest(embedding) AS x, unnest(range(64)) AS d FROM embeddings WHERE vec_id % 20 <> 0), m AS (SELECT label, d, avg(x::DOUBLE) AS x FROM u GROUP BY ALL), c AS (SELECT label, list(x ORDER BY d) AS v FROM m GROUP BY label)"
 
 
 def _centres(pool):
-    u = pool.where("vec_id >= 10").select("label", F.posexplode("embedding").alias("d", "x")).groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    u = pool.where("vec_id % 20 <> 0").select("label", F.posexplode("embedding").alias("d", "x")).groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return u.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("v"))
 
 
-@register("margin_top2", f"""WITH {_CENTRES}, s AS (SELECT q.vec_id, c.label, round({_COS.format(a='q.embedding', b='c.v')}, 6) AS sim FROM embeddings q CROSS JOIN c WHERE q.vec_id < 10),
+@register("margin_top2", f"""WITH {_CENTRES}, s AS (SELECT q.vec_id, c.label, round({_COS.format(a='q.embedding', b='c.v')}, 6) AS sim FROM embeddings q CROSS JOIN c WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER w AS n, lead(sim) OVER w AS runner_up FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY sim DESC, label)) SELECT vec_id, label, sim, runner_up, round(sim - coalesce(runner_up, 0), 6) AS margin FROM r WHERE n = 1""")
 def margin_top2(spark, sf):
     pool = table(spark, sf, "embeddings")
@@ -110,38 +111,46 @@ def margin_top2(spark, sf):
     return topk.with_margin(s, ["vec_id"], "sim", "label")
 
 
-@register("two_stage_identity", f"""WITH {_CENTRES}, gate AS (SELECT q.vec_id AS query_id, c.label FROM embeddings q CROSS JOIN c WHERE q.vec_id < 10 AND {_COS.format(a='q.embedding', b='c.v')} >= 0.05),
-bb AS (SELECT g.query_id, g.label, round(max({_COS.format(a='q.embedding', b='p.embedding')}), 6) AS best FROM gate g JOIN embeddings q ON q.vec_id = g.query_id JOIN embeddings p ON p.label = g.label AND p.vec_id >= 10 GROUP BY ALL)
+@register("two_stage_identity", f"""WITH {_CENTRES}, gate AS (SELECT q.vec_id AS query_id, c.label FROM embeddings q CROSS JOIN c WHERE q.vec_id % 20 = 0 AND {_COS.format(a='q.embedding', b='c.v')} >= 0.05),
+bb AS (SELECT g.query_id, g.label, round(max({_COS.format(a='q.embedding', b='p.embedding')}), 6) AS best FROM gate g JOIN embeddings q ON q.vec_id = g.query_id JOIN embeddings p ON p.label = g.label AND p.vec_id % 20 <> 0 GROUP BY ALL)
 SELECT query_id, label, best, best >= 0.25 AS accepted FROM bb""")
 def two_stage_identity(spark, sf):
     """Identities whose centroid passes a gate, then their best exemplar; accepted at a threshold."""
     pool = table(spark, sf, "embeddings")
     gate = topk.pair_up(_queries(pool), _centres(pool)).where(K.cosine("query_vec", "v") >= 0.05).select("query_id", "query_vec", "label")
-    best = pool.where("vec_id >= 10").join(gate, "label").groupBy("query_id", "label").agg(F.round(F.max(K.cosine("query_vec", "embedding")), 6).alias("best"))
+    best = pool.where("vec_id % 20 <> 0").join(gate, "label").groupBy("query_id", "label").agg(F.round(F.max(K.cosine("query_vec", "embedding")), 6).alias("best"))
     return best.withColumn("accepted", F.col("best") >= 0.25)
 
 
-@register("concept_neighbours", f"""WITH pos AS (SELECT * FROM embeddings WHERE vec_id < 5), neg AS (SELECT * FROM embeddings WHERE vec_id BETWEEN 5 AND 9), rest AS (SELECT * FROM embeddings WHERE vec_id >= 10),
+@register("concept_neighbours", f"""WITH pos AS (SELECT * FROM embeddings WHERE vec_id % 40 = 0), neg AS (SELECT * FROM embeddings WHERE vec_id % 40 = 20), rest AS (SELECT * FROM embeddings WHERE vec_id % 20 <> 0),
 p AS (SELECT r.vec_id, round(max({_COS.format(a='r.embedding', b='p.embedding')}), 6) AS sim FROM rest r CROSS JOIN pos p GROUP BY ALL), n AS (SELECT r.vec_id, round(max({_COS.format(a='r.embedding', b='p.embedding')}), 6) AS neg FROM rest r CROSS JOIN neg p GROUP BY ALL)
 SELECT vec_id, round(sim - CASE WHEN neg >= 0.2 THEN 0.18 * neg ELSE 0 END, 9) AS score FROM p JOIN n USING (vec_id) WHERE sim >= 0.2""")
 def concept_neighbours(spark, sf):
     """Neighbours of a concept's positive examples, less a penalty near its negative ones."""
     pool = table(spark, sf, "embeddings")
-    rest = pool.where("vec_id >= 10")
+    rest = pool.where("vec_id % 20 <> 0")
     best = lambda cond, name: topk.pair_up(pool.where(cond).select(F.col("embedding").alias("example")), rest).groupBy("vec_id").agg(F.round(F.max(K.cosine("embedding", "example")), 6).alias(name))
-    got = best("vec_id < 5", "sim").join(best("vec_id between 5 and 9", "neg"), "vec_id").where("sim >= 0.2")
+    got = best("vec_id % 40 = 0", "sim").join(best("vec_id % 40 = 20", "neg"), "vec_id").where("sim >= 0.2")
     return got.select("vec_id", F.round(F.col("sim") - F.when(F.col("neg") >= 0.2, 0.18 * F.col("neg")).otherwise(0.0), 9).alias("score"))
 
 
-@register("cluster_split_gain", f"""WITH e AS (SELECT vec_id, label, vec_id % 2 AS part, embedding FROM embeddings WHERE vec_id < 200),
-p AS (SELECT a.label, a.part = b.part AS same, {_COS.format(a='a.embedding', b='b.embedding')} AS sim FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id)
-SELECT label, round(avg(CASE WHEN same THEN sim END), 6) AS intra, round(avg(CASE WHEN NOT same THEN sim END), 6) AS inter, round(coalesce(avg(CASE WHEN same THEN sim END), 0) - coalesce(avg(CASE WHEN NOT same THEN sim END), 0), 6) AS gain FROM p GROUP BY label""")
+@register("cluster_split_gain", """WITH e AS (SELECT vec_id, label, vec_id % 2 AS part, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT a.label, a.part = b.part AS same, list_cosine_similarity(a.v, b.v) AS sim FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id)
+SELECT label, round(avg(CASE WHEN same THEN sim END), 6) AS intra, round(avg(CASE WHEN NOT same THEN sim END), 6) AS inter FROM p GROUP BY label""")
 def cluster_split_gain(spark, sf):
-    """Mean similarity within and between two candidate parts of a cluster (clusters of 200 review rows)."""
-    e = table(spark, sf, "embeddings").where("vec_id < 200").withColumn("part", F.col("vec_id") % 2)
-    p = relations.blocked_pairs(e, F.col("label"), "vec_id", ["label", "part", "embedding"]).select(F.col("a_label").alias("label"), (F.col("a_part") == F.col("b_part")).alias("same"), K.cosine("a_embedding", "b_embedding").alias("sim"))
-    intra, inter = F.avg(F.when(F.col("same"), F.col("sim"))), F.avg(F.when(~F.col("same"), F.col("sim")))
-    return p.groupBy("label").agg(F.round(intra, 6).alias("intra"), F.round(inter, 6).alias("inter"), F.round(F.coalesce(intra, F.lit(0.0)) - F.coalesce(inter, F.lit(0.0)), 6).alias("gain"))
+    """Mean cosine within and between two candidate parts of a cluster. Over unit vectors the pairs' sum follows from
+    the vector sums, |S|^2 - n, so no pair is made."""
+    e = table(spark, sf, "embeddings").select("label", (F.col("vec_id") % 2).alias("part"), K.normalized("embedding").alias("u"))
+    per = e.select("label", "part", F.posexplode("u").alias("d", "x")).groupBy("label", "part", "d").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    part = per.groupBy("label", "part").agg(F.sum(F.col("s") * F.col("s")).alias("sq"), F.max("n").alias("n"))
+    whole = per.groupBy("label", "d").agg(F.sum("s").alias("s")).groupBy("label").agg(F.sum(F.col("s") * F.col("s")).alias("all_sq"))
+    inside = part.groupBy("label").agg(F.sum("sq").alias("sq"), F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
+    both = inside.join(whole, "label")
+    n = F.col("n")
+    between = n * (n - 1) / 2 - F.col("pairs")
+    intra = F.when(F.col("pairs") > 0, (F.col("sq") - n) / 2 / F.col("pairs"))
+    inter = F.when(between > 0, (F.col("all_sq") - F.col("sq")) / 2 / between)
+    return both.select("label", F.round(intra, 6).alias("intra"), F.round(inter, 6).alias("inter"))
 
 
 @register("greedy_clusters")
@@ -152,7 +161,7 @@ def greedy_clusters(spark, sf):
 
 
 @register("fine_detail_rerank", """WITH p AS (SELECT q.vec_id AS query_id, p.vec_id, round((list_cosine_similarity(q.embedding[1:12]::DOUBLE[], p.embedding[1:12]::DOUBLE[]) + 1) / 2, 6) AS fine,
- round(greatest(0, list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[])), 6) AS base FROM embeddings q JOIN embeddings p ON q.vec_id < 10 AND q.vec_id <> p.vec_id),
+ round(greatest(0, list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[])), 6) AS base FROM embeddings q JOIN embeddings p ON q.vec_id % 20 = 0 AND q.vec_id <> p.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY base DESC, vec_id) AS n FROM p) SELECT query_id, vec_id, base, fine, round(base + 0.12 * fine, 9) AS score FROM r WHERE n <= 80""")
 def fine_detail_rerank(spark, sf):
     """The 80 best rows, moved by the likeness of a 12-component signature."""
