@@ -191,10 +191,11 @@ def fit(texts: list[bytes], langs_of: list[str], seed: int = 5) -> Crf:
 
 def train(docs: DataFrame, learn: Column) -> Crf:
     """Learn from text and lang of a bounded sample of the rows that `learn` admits."""
-    rows = (
-        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES) & learn)
-        .select("text", "lang", F.xxhash64("text").alias("h")).dropDuplicates(["h", "lang"]).orderBy("h", "lang").limit(TRAIN_ROWS).collect()
-    )
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES) & learn).select("text", "lang", F.xxhash64("text").alias("h"))
+    # the sample is drawn on hashes alone; only its own texts, a bounded number, go to the driver
+    drawn = rows.select("h", "lang").distinct().orderBy("h", "lang").limit(TRAIN_ROWS)
+    got = rows.join(F.broadcast(drawn), ["h", "lang"]).groupBy("h", "lang").agg(F.min("text").alias("text")).collect()
+    rows = sorted(got, key=lambda r: (r["h"], r["lang"]))
     return fit([r["text"].encode() for r in rows], [r["lang"] for r in rows])
 
 
