@@ -84,9 +84,9 @@ class Encoder:
         for w in need:
             if w not in fresh:
                 fresh[w] = self._ids(w).tobytes()
-        get = lambda w: (self.words.get(w) or fresh[w]) if w else b""
+        get = lambda w: (self.words[w] if w in self.words else fresh[w]) if w else b""
         own.update((c, get(w) + get(p)) for c, (w, p) in plain.items())
-        out = [b"".join([known.get(c) or own[c] for c in s]) for s in split]
+        out = [b"".join([known[c] if c in known else own[c] for c in s]) for s in split]
         for cache, more in ((self.chunks, own), (self.words, fresh)):
             if len(cache) < CACHE:
                 cache.update(more)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("loomquery.llm")
 from loomquery.llm import contamination, packing, simhash, toxicity
-from loomquery.llm.common import words
+from loomquery.llm.common import BATCH_ROWS, words
 from loomquery.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -183,6 +183,13 @@ def test_packing_places_every_piece_gapless(spark):
     assert packing.pack(frame(spark, []), tokenizer_path()).count() == 0
 
 
+def test_packing_chunks_without_ids_in_two_batches(spark):
+    odd = ["\u00a0", "\u3000", "\u2003", "\u0085"]  # not white space to bytes.split, and no ids
+    texts = [f"a {odd[i % 4]} b{i % 7}" for i in range(2 * BATCH_ROWS + 10)]
+    rows = packing.pack(frame(spark, texts).coalesce(1), tokenizer_path()).collect()
+    check_packed(rows, own_pieces(texts))
+
+
 def exact_bins(sizes, capacity):
     """Fewest bins, by trying every way (small instances)."""
     sizes, best = sorted(sizes, reverse=True), [len(sizes)]
