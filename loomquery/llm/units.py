@@ -1,12 +1,12 @@
 """Substring dedup by hashing units of text: lines, and the sentences in them.
 
-A unit is a sentence of a line, at least MIN_WORDS words long; lower case and single spaces normalise it. Digests of
-128 bits are grouped over all documents; the occurrence that comes first by (document id, place in the input, start)
-stays, and every other is removed. Removed spans keep their offsets in the original text (code points, end exclusive)
+A unit is a whole line of any length that is not blank, or, for repeats inside lines, a sentence of at least MIN_WORDS
+words; lower case and single spaces normalise it. Digests of 128 bits are grouped over all documents; the occurrence that comes first by (document id, place in the input, start)
+stays, and every other is removed. A removed line is one span, whatever its sentences are. Removed spans keep their offsets in the original text (code points, end exclusive)
 and name the document that keeps the unit.
 
 Null and empty texts have no units; rows with a null id rank last; repeated rows are documents of their own, in the
-order of the input; units shorter than MIN_WORDS words are never removed; an empty table gives an empty result.
+order of the input; sentences shorter than MIN_WORDS words go with whole lines only; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,45 +17,61 @@ from collections.abc import Iterator
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomquery.llm.common import arrow_map
 from loomquery.session import materialize
 
 MIN_WORDS = 6
+_LINE = re.compile(r"[^\n]+")
 _UNIT = re.compile(r"[^\s][^\n.!?]*(?:[.!?]+(?=[^\s.!?])[^\n.!?]*)*[.!?]*")
 
 
+def _placed(text: str, min_words: int) -> Iterator[tuple[int, int, int, bytes, int, bool]]:
+    """(start, end, words, digest, start of the line, whether it is the whole line) of the units of a text."""
+    for line in _LINE.finditer(text):
+        w = line[0].lower().split()
+        if not w:
+            continue
+        raw = line[0].rstrip()
+        at, end = line.end() - len(line[0].lstrip()), line.start() + len(raw)
+        yield at, end, len(w), xxhash.xxh3_128_digest(" ".join(w).encode()), at, True
+        if len(w) < min_words:
+            continue
+        for m in _UNIT.finditer(text, at, end):
+            w = m[0].lower().split()
+            z = m.start() + len(m[0].rstrip())
+            if len(w) >= min_words and (m.start(), z) != (at, end):
+                yield m.start(), z, len(w), xxhash.xxh3_128_digest(" ".join(w).encode()), at, False
+
+
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of the units of a text."""
-    for m in _UNIT.finditer(text):
-        w = m[0].lower().split()
-        if len(w) >= min_words:
-            raw = m[0].rstrip()
-            yield m.start(), m.start() + len(raw), len(w), xxhash.xxh3_128_digest(" ".join(w).encode())
+    """(start, end, words, digest) of the units of a text: each line, then the sentences in it."""
+    return (x[:4] for x in _placed(text, min_words))
 
 
 def unit_table(rows: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, __row, start, end, n_words, h1, h2) of every unit."""
+    """(id, __row, start, end, n_words, line, whole, h1, h2) of every unit; line is where its line starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, cols = [], ([], [], [], [], [])
+            row, cols = [], ([], [], [], [], [], [], [])
             for i, t in enumerate(b.column(text_col).to_pylist()):
-                for s, e, n, d in units(t or "", min_words):
+                for s, e, n, d, line, whole in _placed(t or "", min_words):
                     row.append(i)
-                    for c, x in zip(cols, (s, e, n, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)), strict=True):
+                    for c, x in zip(cols, (s, e, n, line, whole, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)), strict=True):
                         c.append(x)
             at = pa.array(row, type=pa.int64())
             out = pa.RecordBatch.from_arrays(
-                [b.column(id_col).take(at), b.column("__row").take(at), *(pa.array(c, type=pa.int32()) for c in cols[:3]), *(pa.array(c, type=pa.int64()) for c in cols[3:])],
-                [id_col, "__row", "start", "end", "n_words", "h1", "h2"],
+                [b.column(id_col).take(at), b.column("__row").take(at), *(pa.array(c, type=pa.int32()) for c in cols[:4]), pa.array(cols[4], type=pa.bool_()), *(pa.array(c, type=pa.int64()) for c in cols[5:])],
+                [id_col, "__row", "start", "end", "n_words", "line", "whole", "h1", "h2"],
             )
             for lo in range(0, out.num_rows, 50_000):
                 yield out.slice(lo, 50_000)
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return arrow_map(rows.select(id_col, "__row", text_col), run, f"`{id_col}` {kind}, __row long, start int, end int, n_words int, h1 long, h2 long")
+    return arrow_map(rows.select(id_col, "__row", text_col), run, f"`{id_col}` {kind}, __row long, start int, end int, n_words int, line int, whole boolean, h1 long, h2 long")
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -66,7 +82,10 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     first = materialize(first.select("h1", "h2", "first"), "first-units")
     joined = every.join(first, ["h1", "h2"])
-    return joined.where((F.col("__row") != F.col("first.row")) | (F.col("start") != F.col("first.start"))).select(
+    again = joined.where((F.col("__row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
+    # a removed line covers its sentences, each of which its first copy holds as well
+    covered = F.max("whole").over(W.partitionBy("__row", "line"))
+    return again.withColumn("__covered", covered).where(F.col("whole") | ~F.col("__covered")).select(
         id_col, "__row", "start", "end", "n_words", F.col("first.id").alias("kept_id"), F.col("first.start").alias("kept_start")
     )
 

@@ -172,6 +172,16 @@ def test_units_equal_brute_force(spark):
     assert units.repeated_units(frame(spark, [])).count() == 0
 
 
+def test_units_remove_repeated_lines_of_any_length(spark):
+    texts = ["All rights reserved.\nLine of its own\n日本語の行", "Mine\n  all  RIGHTS reserved. \n\n日本語の行\nMine", "Short one. One two three four five six seven. Tail.\n \n"]
+    texts += [texts[2] + "x", "Begin. One two three four five six seven. End."]
+    got = sorted((r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]], r["kept_id"]) for r in units.repeated_units(frame(spark, texts)).collect())
+    inner, line = "One two three four five six seven.", "Short one. One two three four five six seven. Tail."
+    assert got == [(1, "Mine", 1), (1, "all  RIGHTS reserved.", 0), (1, "日本語の行", 0), (3, line, 2), (4, inner, 2)]
+    out = [r["text"] for r in units.deduplicated(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert out == [texts[0], "Mine\n   \n\n\n", texts[2], "\n \nx", "Begin.  End."]
+
+
 def test_maxscore_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(8)
     vecs = rng.normal(size=(300, 6)).round(2).astype(object).tolist()
