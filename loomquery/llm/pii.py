@@ -5,8 +5,9 @@ the patterns crosses a line break, so lines are searched one by one. Each distin
 
 Information-theoretic sanitisation then asks what the words around an entity reveal. Over all documents, PMI(t; e) =
 log2(N n(t, e) / (n(t) n(e))) measures how much of an entity's information IC(e) = log2(N / n(e)) a term t carries,
-n(t, e) counting documents that have t within WINDOW words of e on a line. Terms whose share PMI / IC reaches REMOVE
-are removed, from GENERALISE on they are generalised; pairs seen in fewer than SUPPORT documents are no evidence.
+n(t, e) counting documents that have t within WINDOW words of e, over line breaks too. Terms whose share PMI / IC
+reaches REMOVE are removed wherever a document that holds the entity has them, near it or not; from GENERALISE on they
+are generalised. Documents without the entity keep the term; pairs seen in fewer than SUPPORT documents are no evidence.
 
 Null texts count as empty and have no spans; repeated rows count as documents of their own, each with its spans;
 texts of any length are searched whole; an empty table gives an empty result. Offsets are code points, end exclusive.
@@ -66,20 +67,25 @@ def _located(df: DataFrame, found: Column, keys: list[str]) -> DataFrame:
 
 
 def _matches(text: str, kind: str, pattern: str) -> Column:
-    gaps = F.split(text, pattern, -1)
+    # zipped, as a split inside transform's function would run once a match
+    found = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
     return F.transform(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), m.alias("m"), F.get(gaps, i).alias("gap")),
+        F.filter(found, lambda x: x["m"].isNotNull()),
+        lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x["m"].alias("m"), x["gap"].alias("gap")),
     )
 
 
+def _placed_lines(rows: DataFrame, text_col: str) -> DataFrame:
+    """(__row, line, text, at) of every line; at is the line's offset in its text."""
+    lines = rows.select("__row", F.posexplode(F.split(text_col, "\n")).alias("line", "text"))
+    w = W.partitionBy("__row").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return lines.withColumn("at", F.sum(F.length("text") + 1).over(w) - F.length("text") - 1)
+
+
 def _lines(rows: DataFrame, text_col: str) -> DataFrame:
-    """(__row, line, text, at) of the lines of rows that hold any pattern; at is the line's offset in its text."""
+    """(__row, line, text, at) of the lines of rows that hold any pattern."""
     some = rows.where(" or ".join(f"`{text_col}` rlike r'{p}'" for p in PATTERNS.values()))
-    lines = some.select("__row", F.posexplode(F.split(text_col, "\n")).alias("line", "text"))
-    w = W.partitionBy("__row").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = lines.withColumn("at", F.sum(F.length("text") + 1).over(w) - F.length("text") - 1)
-    return placed.where(" or ".join(f"text rlike r'{p}'" for p in PATTERNS.values()))
+    return _placed_lines(some, text_col).where(" or ".join(f"text rlike r'{p}'" for p in PATTERNS.values()))
 
 
 def base_spans(lines: DataFrame) -> DataFrame:
@@ -88,24 +94,30 @@ def base_spans(lines: DataFrame) -> DataFrame:
     return _located(lines, found, ["__row", "line"]).where(_valid(F.col("kind"), F.col("m"))).select("__row", "line", "kind", F.col("m").alias("value"), F.col("start").alias("s"), F.col("end").alias("e"))
 
 
-def neighbours(lines: DataFrame, spans: DataFrame) -> DataFrame:
-    """(__row, line, entity, term, s, e): words without digits, outside base spans, within WINDOW words of an entity."""
-    with_spans = lines.join(spans.select("__row", "line").distinct(), ["__row", "line"], "left_semi")
-    words = _located(with_spans, _matches("text", "word", WORD), ["__row", "line"]).where((F.length("m") >= 3) & ~F.col("m").rlike("[0-9]"))
-    both = words.select("__row", "line", F.lit(None).cast("string").alias("entity"), F.lower("m").alias("term"), F.col("start").alias("s"), F.col("end").alias("e")).unionByName(
-        spans.select("__row", "line", F.concat_ws(":", "kind", F.lower("value")).alias("entity"), F.lit(None).cast("string").alias("term"), "s", "e")
+def words_around(rows: DataFrame, text_col: str, spans: DataFrame) -> DataFrame:
+    """(__row, place, entity, term, s, e) of the base spans, and of the words without digits outside them, in every row
+    with a span; s and e are offsets in the text and place counts both kinds in order. spans: __row, kind, value, s, e."""
+    held = _placed_lines(rows.join(spans.select("__row").distinct(), "__row", "left_semi"), text_col)
+    words = _located(held, _matches("text", "word", WORD), ["__row", "line", "at"]).where((F.length("m") >= 3) & ~F.col("m").rlike("[0-9]"))
+    both = words.select("__row", F.lit(None).cast("string").alias("entity"), F.lower("m").alias("term"), (F.col("start") + F.col("at")).alias("s"), (F.col("end") + F.col("at")).alias("e")).unionByName(
+        spans.select("__row", F.concat_ws(":", "kind", F.lower("value")).alias("entity"), F.lit(None).cast("string").alias("term"), "s", "e")
     )
-    order = W.partitionBy("__row", "line").orderBy("s", F.col("entity").isNull(), "e")
+    order = W.partitionBy("__row").orderBy("s", F.col("entity").isNull(), "e")
     covered = F.max(F.when(F.col("entity").isNotNull(), F.col("e"))).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
     free = both.withColumn("covered", covered).where(F.col("entity").isNotNull() | F.col("covered").isNull() | (F.col("covered") <= F.col("s")))
-    near = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "s", "e"))).over(order.rowsBetween(-WINDOW, WINDOW))
-    got = free.withColumn("near", near).where(F.col("entity").isNotNull()).select("__row", "line", "entity", F.explode("near").alias("x"))
-    return got.select("__row", "line", "entity", "x.term", "x.s", "x.e").distinct()
+    return free.withColumn("place", F.row_number().over(order)).select("__row", "place", "entity", "term", "s", "e")
+
+
+def neighbours(around: DataFrame) -> DataFrame:
+    """(__row, entity, term) of the terms within WINDOW words of an entity."""
+    reach = F.explode(F.sequence(F.col("place") - WINDOW, F.col("place") + WINDOW))
+    spots = around.where("entity is not null").select("__row", "entity", reach.alias("place"))
+    return spots.join(around.where("term is not null").select("__row", "place", "term"), ["__row", "place"]).select("__row", "entity", "term").distinct()
 
 
 def disclosing(rows: DataFrame, text_col: str, near: DataFrame, entities: DataFrame) -> DataFrame:
     """(entity, term, share, action) of the terms that reveal an entity, from counts over all rows."""
-    pairs = near.select("__row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT)
+    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT)
     pairs = materialize(pairs, "pii-pairs")
     terms = pairs.select("term").distinct()
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
@@ -124,14 +136,15 @@ def disclosing(rows: DataFrame, text_col: str, near: DataFrame, entities: DataFr
 def all_spans(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """(__row, kind, s, e) of base and added spans, with offsets in the text. rows: __row and the text."""
     lines = materialize(_lines(rows, text_col), "pii-lines")
-    spans = materialize(base_spans(lines), "pii-spans")
-    near = materialize(neighbours(lines, spans), "pii-near")
+    spans = base_spans(lines).join(lines.select("__row", "line", "at"), ["__row", "line"])
+    spans = materialize(spans.select("__row", "kind", "value", (F.col("s") + F.col("at")).alias("s"), (F.col("e") + F.col("at")).alias("e")), "pii-spans")
+    around = materialize(words_around(rows, text_col, spans), "pii-words")
+    near = materialize(neighbours(around), "pii-near")
     entities = spans.select("__row", F.concat_ws(":", "kind", F.lower("value")).alias("entity")).distinct()
     found = disclosing(rows, text_col, near, entities)
-    added = near.join(found, ["entity", "term"]).groupBy("__row", "line", "s", "e").agg(F.max("action").alias("kind"))
-    at = lines.select("__row", "line", "at")
-    every = spans.select("__row", "line", "kind", "s", "e").unionByName(added.select("__row", "line", "kind", "s", "e"))
-    return every.join(at, ["__row", "line"]).select("__row", "kind", (F.col("s") + F.col("at")).alias("s"), (F.col("e") + F.col("at")).alias("e"))
+    marked = entities.join(found, "entity").groupBy("__row", "term").agg(F.max("action").alias("kind"))
+    added = around.where("term is not null").join(marked, ["__row", "term"])
+    return spans.select("__row", "kind", "s", "e").unionByName(added.select("__row", "kind", "s", "e"))
 
 
 def _listed(kinds: list[str]) -> Column:

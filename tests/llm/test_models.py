@@ -149,6 +149,17 @@ def test_pii_terms_that_reveal_an_entity(spark):
     assert "jo0@x.org" not in clean[0]["text"] and "Zorblax" not in clean[0]["text"] and "[EMAIL]" in clean[0]["text"] and clean[10]["text"] == texts[10]
 
 
+def test_pii_terms_go_from_whole_documents_and_count_over_lines(spark):
+    far = "the day and the clerk " * 6
+    texts = [f"Name: Zorblax\nEmail: jo@x.org\n{far}\nso Zorblax said", f"{far}\nZorblax came {far} Zorblax\n\njo@x.org", f"jo@x.org {far}{far}\nZorblax went"]
+    texts += [f"the clerk and the day {i}\nName: none\nEmail: none so he said came went" for i in range(40)] + ["Zorblax elsewhere"]
+    rows = {r["doc_id"]: [x.split(":") for x in r["spans"].split(",") if x] for r in pii.report(frame(spark, texts)).collect()}
+    for i in range(3):
+        want = {m.start() for m in re.finditer("Zorblax", texts[i])}
+        assert {int(s) for k, s, _ in rows[i] if k in ("remove", "generalise")} == want
+    assert all(not rows[i] for i in range(3, 44))
+
+
 def test_units_equal_brute_force(spark):
     rng = random.Random(3)
     sent = [" ".join(rng.choice("abcdefg") * 2 for _ in range(rng.randrange(3, 12))).capitalize() + rng.choice([".", "!", "?", ""]) for _ in range(40)]
