@@ -7,11 +7,13 @@ Runs of equal bins become rows (pattern, first bin, bins), and pieces find their
 of their length, which two-level counting gives without bringing a length's pieces together in one task.
 
 Null texts count as empty and give one piece with the end id alone; repeated rows and repeated ids are packed once
-each; an empty table gives an empty result; a text of any length is tokenised whole and only cut beyond the capacity.
+each; pieces of one length are told apart by place only, so ties play no part; an empty table gives an empty result; a
+text of any length is tokenised whole and only cut beyond the capacity; of docs' columns only id and text are read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_right, insort
@@ -23,73 +25,99 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomquery.llm.common import arrow_map, texts_of
+from loomquery.llm.common import arrow_map, held, texts_of
 from loomquery.session import materialize
 
 CAPACITY, END_ID = 2048, 0
 #: Entries that a worker's caches of chunks and of words may hold.
-CACHE = 500_000
+CACHE = 700_000
 
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z")
+#: Punctuation that the vocabulary's pre-tokeniser takes as one run; ' opens its own pieces and <|> mark special tokens.
+_MARKS = r"[!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*"
+_SIMPLE = re.compile(rf"({_MARKS})([A-Za-zÀ-ÖØ-öø-ÿ]+)({_MARKS})\Z")
+
+#: What the chunk-wise way takes for granted; a file that says otherwise is encoded text by text.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_chunks(path: str) -> bool:
+    """Whether a tokenizer file parts texts as the chunk-wise way needs: nothing joined across white space, every word
+    closed by its mark, punctuation in runs, lower case, and special tokens without white space."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    first = (pre.get("pretokenizers") or [{}])[0]
+    return (
+        model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not model.get("unk_token") and not model.get("continuing_subword_prefix")
+        and not any(spec.get(k) for k in ("truncation", "padding", "post_processor")) and spec.get("normalizer") == _NORMALIZER and pre.get("type") == "Sequence"
+        and len(pre["pretokenizers"]) == 2 and first.get("pattern") == {"Regex": _PIECES} and first.get("behavior") == "Removed" and first.get("invert") is True
+        and pre["pretokenizers"][1].get("type") == "ByteLevel" and not pre["pretokenizers"][1].get("add_prefix_space") and not pre["pretokenizers"][1].get("use_regex")
+        and all(re.fullmatch(r"<\|[^\s<>]*\|>", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec.get("added_tokens", []))
+    )
 
 
 class Encoder:
     """Ids of whole texts as little-endian uint32 bytes, equal to the tokenizer's own.
 
-    Neither the normaliser nor the pre-tokeniser of this vocabulary joins anything across ASCII white space, so a
-    text's ids are the concatenation of its chunks'. Plain words are encoded many at a time, and their ids parted at
-    the word-end mark that closes every word.
+    Where by_chunks() holds, a text's ids are the concatenation of its chunks' between ASCII white space, and known
+    chunks are looked up. Plain words are encoded many at a time, and their ids parted at the mark that closes every
+    word. Any other tokenizer encodes text by text.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.chunkwise = by_chunks(path)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
         self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
+    def _learn(self, words: list[str]) -> None:
         for lo in range(0, len(words), 500):
             some = words[lo : lo + 500]
             ids = self._ids(" ".join(some))
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
                 raw, at = ids.tobytes(), 0
-                for word, cut in zip(some, cuts.tolist(), strict=True):
-                    into[word] = raw[at * 4 : cut * 4]
+                for word, cut in zip(some, (cuts * 4).tolist(), strict=True):
+                    self.words[word] = raw[at:cut]
                     at = cut
             else:
-                into.update((word, self._ids(word).tobytes()) for word in some)
+                self.words.update((word, self._ids(word).tobytes()) for word in some)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.chunkwise:
+            return [self._ids(t.decode()).tobytes() for t in texts]
         split = [t.split() for t in texts]
-        known = self.chunks
-        new = {c for s in split for c in s if c not in known}
-        plain, own = {}, {}
-        for c in new:
+        known, words = self.chunks, self.words
+        fresh = list(set().union(*split).difference(known)) if split else []
+        plain = []
+        for c in fresh:
             if m := _SIMPLE.match(c.decode()):
-                plain[c] = (m[1].lower(), m[2])
+                before, word, after = m.groups()
+                plain.append((c, before, word.lower(), after))
             else:
-                own[c] = self._ids(c.decode()).tobytes()
-        need = {w for pair in plain.values() for w in pair if w and w not in self.words}
-        fresh: dict[str, bytes] = {}
-        self._learn(sorted(w for w in need if w[0].isalpha()), fresh)
+                known[c] = self._ids(c.decode()).tobytes()
+        need = list({w for p in plain for w in p[1:]}.difference(words))
         for w in need:
-            if w not in fresh:
-                fresh[w] = self._ids(w).tobytes()
-        get = lambda w: (self.words[w] if w in self.words else fresh[w]) if w else b""
-        own.update((c, get(w) + get(p)) for c, (w, p) in plain.items())
-        out = [b"".join([known[c] if c in known else own[c] for c in s]) for s in split]
-        for cache, more in ((self.chunks, own), (self.words, fresh)):
-            if len(cache) < CACHE:
-                cache.update(more)
+            if not w[0].isalpha():
+                words[w] = self._ids(w).tobytes()
+        self._learn([w for w in need if w[0].isalpha()])
+        known.update([(c, words[before] + words[word] + words[after]) for c, before, word, after in plain])
+        get = known.__getitem__
+        out = [b"".join(map(get, s)) for s in split]
+        for cache, new in ((known, fresh), (words, need)):  # a full cache keeps what it knows and lets the batch's own go
+            if len(cache) > CACHE:
+                for x in new:
+                    del cache[x]
         return out
 
 
@@ -97,9 +125,9 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     """One row for each piece: id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = None, int(END_ID).to_bytes(4, "little")
+        end = int(END_ID).to_bytes(4, "little")
         for b in batches:
-            encoder = encoder or Encoder(tokenizer_path)
+            encoder = held(("encoder", tokenizer_path), lambda: Encoder(tokenizer_path))
             row, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(encoder.encode(texts_of(b, text_col))):
                 ids += end
