@@ -2,14 +2,15 @@
 
 A line is its tokens, parted by white space. The tree has a fixed depth: token count, then the first DEPTH tokens,
 where a token that holds a digit counts as a variable field `<*>`. Lines of one leaf are generalised together: a
-token stays where at least MIN_DOCS documents of the leaf have it at that place, and becomes `<*>` elsewhere. Lines
-with the same generalised tokens share a template. A template recurs if it comes from at least MIN_DOCS documents and at least
-MIN_FIXED of its tokens stayed fixed; its lines are dropped, unless recurring lines make up more than MAX_SHARE of a
-document's tokens. Such a document is as a whole a copy of others, which is for near-duplicate search to decide; so
-groups of copies keep their text.
-
-Null texts stay null and empty texts empty (neither has lines); blank lines are never dropped; repeated rows count as documents of
-their own; a document's own repetitions of a line count once; an empty table gives an empty result.
+token stays where at least MIN_DOCS distinct texts of the leaf have it at that place, and becomes `<*>` elsewhere.
+Lines with the same generalised tokens share a template. A template recurs if it comes from at least MIN_DOCS distinct
+texts and at least MIN_FIXED of its tokens stayed fixed. Its lines are dropped everywhere but in the text that has it
+first, by (document id, nulls last; place in the input). Exact copies are one text: they do not make their own lines
+recur, and they keep or lose the same lines, so that near-duplicate search still finds them.
+
+Null texts stay null and empty texts empty (neither has lines); blank lines are never dropped; a text's own repetitions
+of a line count once; ties of the first document go to the row that comes first; an empty table gives an empty result;
+columns of any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomquery.llm.common import numbered, restored
 from loomquery.session import materialize
 
-DEPTH, MIN_DOCS, MIN_FIXED, MAX_SHARE = 3, 5, 0.5, 0.5
+DEPTH, MIN_DOCS, MIN_FIXED = 3, 5, 0.5
 #: Leaves or templates that may be broadcast (a hash each, at most 64 bytes); beyond it the joins shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -34,24 +36,28 @@ def _mask(token):
     return F.when(token.rlike("[0-9]"), F.lit("<*>")).otherwise(token)
 
 
-def _numbered_lines(rows: DataFrame, text_col: str) -> DataFrame:
-    """(__row, pos, tokens, leaf) of every line that is not blank."""
-    lines = rows.select("__row", F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    split = lines.select("__row", "pos", F.filter(F.split("line", _SPACE), lambda t: t != "").alias("tokens")).where(F.size("tokens") > 0)
+def _lines(rows: DataFrame) -> DataFrame:
+    """(__row, __id, same, pos, tokens, leaf) of every line that is not blank; `same` is equal for equal texts."""
+    lines = rows.select("__row", "__id", F.xxhash64("__text").alias("same"), F.posexplode(F.split("__text", "\n")).alias("pos", "line"))
+    split = lines.select("__row", "__id", "same", "pos", F.filter(F.split("line", _SPACE), lambda t: t != "").alias("tokens")).where(F.size("tokens") > 0)
     return split.withColumn("leaf", F.xxhash64(F.size("tokens"), F.transform(F.slice("tokens", 1, DEPTH), _mask)))
 
 
-def recurring_lines(rows: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED) -> DataFrame:
-    """(__row, pos, n_tokens, template) of the lines whose template recurs, in a table of its own."""
-    lines = _numbered_lines(rows, text_col)
-    per_doc = lines.select("__row", "leaf").groupBy("__row").agg(F.collect_set("leaf").alias("leaves")).select(F.explode("leaves").alias("leaf"))
-    busy = materialize(per_doc.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
+def _often(pairs: DataFrame, key: str, min_docs: int) -> DataFrame:
+    """key of the pairs (key, same) with at least min_docs different texts."""
+    return pairs.select(key, "same").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select(key)
+
+
+def recurring_lines(rows: DataFrame, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED) -> DataFrame:
+    """(__row, pos, template) of the lines whose template recurs and was seen first elsewhere. rows: __row, __id, __text."""
+    lines = _lines(rows)
+    busy = materialize(_often(lines, "leaf", min_docs), "leaves")
     masked = F.array_join(F.transform("tokens", _mask), " ")
-    inside = lines.join(_maybe_broadcast(busy), "leaf", "left_semi").select("__row", "pos", "leaf", masked.alias("line"))
+    inside = lines.join(_maybe_broadcast(busy), "leaf", "left_semi").select("__row", "__id", "same", "pos", "leaf", masked.alias("line"))
     inside = materialize(inside.withColumn("h", F.xxhash64("line")), "leaf-lines")
-    # documents with the same lines in a leaf (copies, boilerplate) are counted together, so each distinct set is taken apart once
-    per_doc = inside.groupBy("__row", "leaf").agg(F.sort_array(F.collect_set("line")).alias("lines"))
-    sets = materialize(per_doc.groupBy("leaf", "lines").agg(F.count(F.lit(1)).alias("n")), "line-sets")
+    # texts with the same lines in a leaf (boilerplate) are counted together, so each distinct set is taken apart once
+    per_text = inside.groupBy("same", "leaf").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    sets = materialize(per_text.groupBy("leaf", "lines").agg(F.count(F.lit(1)).alias("n")), "line-sets")
     placed = F.transform("lines", lambda x: F.transform(F.split(x, " "), lambda t, i: F.struct(i.alias("place"), t.alias("token"))))
     tokens = sets.select("leaf", "n", F.explode(F.array_distinct(F.flatten(placed))).alias("x")).where("x.token <> '<*>'")
     fixed = tokens.groupBy("leaf", "x.place", "x.token").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("stays"))
@@ -61,55 +67,61 @@ def recurring_lines(rows: DataFrame, text_col: str = "text", min_docs: int = MIN
     field = F.struct("place", F.when(F.col("stays"), F.col("token")).otherwise(F.lit("<*>")).alias("field"))
     general = each.join(fixed, ["leaf", "place", "token"], "left").groupBy("leaf", "h").agg(F.sort_array(F.collect_list(field)).alias("fields"), F.count("stays").alias("kept"))
     template = F.sha2(F.array_join(F.transform("fields", lambda x: x["field"]), " "), 256)
-    strong_lines = general.where(F.col("kept") >= F.lit(min_fixed) * F.size("fields")).select("leaf", "h", F.size("fields").alias("n_tokens"), template.alias("template"))
-    strong = inside.select("__row", "pos", "leaf", "h").join(materialize(strong_lines, "strong-lines"), ["leaf", "h"]).select("__row", "pos", "n_tokens", "template")
+    strong_lines = general.where(F.col("kept") >= F.lit(min_fixed) * F.size("fields")).select("leaf", "h", template.alias("template"))
+    strong = inside.select("__row", "__id", "same", "pos", "leaf", "h").join(materialize(strong_lines, "strong-lines"), ["leaf", "h"]).select("__row", "__id", "same", "pos", "template")
     strong = materialize(strong, "templates")
-    counted = strong.groupBy("__row").agg(F.collect_set("template").alias("t")).select(F.explode("t").alias("template")).groupBy("template").agg(F.count(F.lit(1)).alias("n"))
-    often = materialize(counted.where(F.col("n") >= min_docs).select("template"), "recurring")
-    return materialize(strong.join(_maybe_broadcast(often), "template", "left_semi"), "recurring-lines")
+    per_text = strong.groupBy("template", "same").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("at"))
+    often = per_text.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min_by("same", "at").alias("first")).where(F.col("n") >= min_docs).select("template", "first")
+    often = materialize(often, "recurring")
+    return strong.join(_maybe_broadcast(often), "template").where(F.col("same") != F.col("first")).select("__row", "pos", "template")
 
 
-def drop_recurring(docs: DataFrame, text_col: str = "text", max_share: float = MAX_SHARE) -> DataFrame:
-    """docs with the recurring lines taken out of text, and __n_lines, __n_dropped and __n_templates."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    found = recurring_lines(rows.select("__row", text_col), text_col)
-    hits = found.groupBy("__row").agg(F.sum("n_tokens").alias("__hit"), F.collect_set("pos").alias("__pos"), F.countDistinct("template").alias("__n_templates"))
+def _dropped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """__row, __id, __text, __rest, and __new, __lines, __gone, __templates: the text that stays and the counts."""
+    rows = numbered(docs, id_col, text_col, "line-rows")
+    found = recurring_lines(rows.select("__row", "__id", "__text"))
+    hits = found.groupBy("__row").agg(F.collect_set("pos").alias("__pos"), F.countDistinct("template").cast("int").alias("__templates"))
     # by hash at every size: the hits grow with the input, and sorting whole texts would gain nothing
     joined = rows.join(materialize(hits, "hits").hint("shuffle_hash"), "__row", "left")
-    lines = F.split(text_col, "\n")
-    n_tokens = F.aggregate(lines, F.lit(0), lambda s, x: s + F.size(F.filter(F.split(x, _SPACE), lambda t: t != "")))
-    drop = F.when(F.col("__hit").isNull(), F.lit(False)).otherwise(F.col("__hit") <= F.lit(max_share) * n_tokens)
-    out = joined.withColumn("__drop", drop)
+    lines = F.split("__text", "\n")
     rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__pos", i)), "\n")
-    return out.select(
-        *[F.when(F.col("__drop"), rest).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.coalesce(F.when(F.col(text_col) == "", 0).otherwise(F.size(lines)), F.lit(0)).alias("__n_lines"),
-        F.when(F.col("__drop"), F.size("__pos")).otherwise(0).alias("__n_dropped"),
-        F.when(F.col("__drop"), F.col("__n_templates")).otherwise(0).cast("int").alias("__n_templates"),
+    return joined.select(
+        "__row", "__id", "__text", "__rest", F.when(F.col("__pos").isNull(), F.col("__text")).otherwise(rest).alias("__new"),
+        F.coalesce(F.when(F.col("__text") == "", 0).otherwise(F.size(lines)), F.lit(0)).alias("__lines"),
+        F.coalesce(F.size("__pos"), F.lit(0)).alias("__gone"), F.coalesce("__templates", F.lit(0)).alias("__templates"),
     )
 
 
+def drop_recurring(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length_col: str | None = None) -> DataFrame:
+    """docs with the recurring lines taken out of text; length_col, if given, follows where a line went."""
+    got, changed = _dropped(docs, id_col, text_col), {}
+    if length_col:
+        old = F.col("__rest").getField(length_col)
+        changed[length_col] = F.when(F.col("__gone") > 0, F.length("__new").cast(docs.schema[length_col].dataType)).otherwise(old)
+    return got.select(*restored(docs, text_col, F.col("__new"), **changed))
+
+
 #: The same in DuckDB: one row a document.
 ORACLE = rf"""
 WITH lines AS (
-  SELECT doc_id, (u.pos - 1)::INT AS pos, list_filter(string_split_regex(u.line, '[ \t\r\f\x0B]+'), lambda t: t <> '') AS toks
-  FROM (SELECT doc_id, unnest(list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1)), max_depth := 1) AS z FROM documents) q,
+  SELECT doc_id, text, (u.pos - 1)::INT AS pos, list_filter(string_split_regex(u.line, '[ \t\r\f\x0B]+'), lambda t: t <> '') AS toks
+  FROM (SELECT doc_id, text, unnest(list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1)), max_depth := 1) AS z FROM documents) q,
   LATERAL (SELECT z[1] AS line, z[2] AS pos) u
 ), toks AS (
-  SELECT doc_id, pos, toks, list_transform(toks, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS masked FROM lines WHERE len(toks) > 0
+  SELECT doc_id, text, pos, toks, list_transform(toks, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS masked FROM lines WHERE len(toks) > 0
 ), leaves AS (SELECT *, len(toks)::VARCHAR || ' ' || array_to_string(masked[1:{DEPTH}], ' ') AS leaf FROM toks),
-busy AS (SELECT leaf FROM leaves GROUP BY leaf HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+busy AS (SELECT leaf FROM leaves GROUP BY leaf HAVING count(DISTINCT text) >= {MIN_DOCS}),
 inside AS (SELECT * FROM leaves SEMI JOIN busy USING (leaf)),
-tokens AS (SELECT doc_id, pos, leaf, unnest(masked) AS token, unnest(range(len(masked))) AS place FROM inside),
-fixed AS (SELECT leaf, place, token FROM tokens WHERE token <> '<*>' GROUP BY ALL HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+tokens AS (SELECT doc_id, text, pos, leaf, unnest(masked) AS token, unnest(range(len(masked))) AS place FROM inside),
+fixed AS (SELECT leaf, place, token FROM tokens WHERE token <> '<*>' GROUP BY ALL HAVING count(DISTINCT text) >= {MIN_DOCS}),
 general AS (
   SELECT t.doc_id, t.pos, count(*) AS n, count(f.token) AS kept, string_agg(coalesce(f.token, '<*>'), ' ' ORDER BY t.place) AS template
   FROM tokens t LEFT JOIN fixed f ON t.leaf = f.leaf AND t.place = f.place AND t.token = f.token GROUP BY t.doc_id, t.pos
-), strong AS (SELECT * FROM general WHERE kept >= {MIN_FIXED} * n),
-often AS (SELECT template FROM strong GROUP BY template HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
-hits AS (SELECT doc_id, sum(n) AS hit, list(pos) AS gone, count(DISTINCT template) AS n_templates FROM strong SEMI JOIN often USING (template) GROUP BY doc_id),
-sizes AS (SELECT doc_id, sum(len(toks)) AS n FROM lines GROUP BY doc_id),
-chosen AS (SELECT h.* FROM hits h JOIN sizes s USING (doc_id) WHERE h.hit <= {MAX_SHARE} * s.n)
+), strong AS (SELECT g.doc_id, g.pos, g.template, d.text FROM general g JOIN documents d USING (doc_id) WHERE kept >= {MIN_FIXED} * n),
+often AS (SELECT template, arg_min(text, doc_id) AS first FROM strong GROUP BY template HAVING count(DISTINCT text) >= {MIN_DOCS}),
+chosen AS (
+  SELECT s.doc_id, list(s.pos) AS gone, count(DISTINCT s.template) AS n_templates FROM strong s JOIN often o ON s.template = o.template AND s.text <> o.first GROUP BY s.doc_id
+)
 SELECT d.doc_id, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END::INT AS n_lines,
   coalesce(len(c.gone), 0)::INT AS n_dropped, coalesce(c.n_templates, 0)::INT AS n_templates,
   sha256(CASE WHEN c.doc_id IS NULL THEN coalesce(d.text, '')
@@ -120,8 +132,8 @@ FROM documents d LEFT JOIN chosen c USING (doc_id)
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: lines, lines dropped, templates they belong to, and the digest of the text that stays."""
-    got = drop_recurring(docs.select(id_col, text_col), text_col)
+    got = _dropped(docs.select(id_col, text_col), id_col, text_col)
     return got.select(
-        id_col, F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.col("__n_templates").alias("n_templates"),
-        F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("kept_sha256"),
+        F.col("__id").alias(id_col), F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_dropped"), F.col("__templates").alias("n_templates"),
+        F.sha2(F.coalesce("__new", F.lit("")), 256).alias("kept_sha256"),
     )
