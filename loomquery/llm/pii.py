@@ -3,14 +3,19 @@
 Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers, by pattern and check digit. None of
 the patterns crosses a line break, so lines are searched one by one. Each distinct value found is a protected entity.
 
-Information-theoretic sanitisation then asks what the words around an entity reveal. Over all documents, PMI(t; e) =
-log2(N n(t, e) / (n(t) n(e))) measures how much of an entity's information IC(e) = log2(N / n(e)) a term t carries,
-n(t, e) counting documents that have t within WINDOW words of e, over line breaks too. Terms whose share PMI / IC
-reaches REMOVE are removed wherever a document that holds the entity has them, near it or not; from GENERALISE on they
-are generalised. Documents without the entity keep the term; pairs seen in fewer than SUPPORT documents are no evidence.
-
-Null texts count as empty and have no spans; repeated rows count as documents of their own, each with its spans;
-texts of any length are searched whole; an empty table gives an empty result. Offsets are code points, end exclusive.
+Information-theoretic sanitisation then asks what the words around an entity reveal. Everything is counted in one
+space of events, the passages of PASSAGE characters (extended to the end of a word, over line breaks) of all distinct
+texts: n(t) passages have the term, n(e) the entity, n(t, e) both, of N. PMI(t; e) = log2(N n(t, e) / (n(t) n(e))) is
+how much of the entity's information IC(e) = log2(N / n(e)) the term carries. Terms whose share PMI / IC reaches REMOVE
+are removed wherever a text that holds the entity has them; from GENERALISE on they are generalised. Texts without the
+entity keep the term. A pair needs SUPPORT different lines of the entity as evidence; copies of a text or of a line
+count once. An entity on fewer lines than that takes the evidence of its class: the domain of an address, the first two
+parts of an IP, the first six digits of a card, the first four of a phone number. Values are compared in lower case
+and without the separators of their digits.
+
+Null texts count as empty and have no spans; repeated rows have equal spans, and a repeated text counts once; texts of
+any length are searched whole; spans that tie in kind and start order by end; an empty table gives an empty result;
+columns of any name are kept as they are. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -19,9 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomquery.llm.common import packed, restored
 from loomquery.session import materialize
 
-WINDOW, SUPPORT, GENERALISE, REMOVE = 8, 2, 0.6, 0.9
+PASSAGE, SUPPORT, GENERALISE, REMOVE = 400, 2, 0.6, 0.9
 #: Terms that may be broadcast to the count over all documents (a few tens of bytes each); beyond it they are shuffled.
 BROADCAST_TERMS = 200_000
 
@@ -34,6 +40,8 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_SPANS = "array<struct<o:int,s:bigint,e:bigint,kind:string>>"
 _ORDER = {k: i for i, k in enumerate([*PATTERNS, "generalise", "remove"])}
 
 
@@ -75,76 +83,112 @@ def _matches(text: str, kind: str, pattern: str) -> Column:
     )
 
 
-def _placed_lines(rows: DataFrame, text_col: str) -> DataFrame:
-    """(__row, line, text, at) of every line; at is the line's offset in its text."""
-    lines = rows.select("__row", F.posexplode(F.split(text_col, "\n")).alias("line", "text"))
-    w = W.partitionBy("__row").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return lines.withColumn("at", F.sum(F.length("text") + 1).over(w) - F.length("text") - 1)
+def _placed(texts: DataFrame, parts: Column, gap: int) -> DataFrame:
+    """(__key, no, text, at) of the parts of every text; at is the part's offset, gap what parts them."""
+    each = texts.select("__key", F.posexplode(parts).alias("no", "text"))
+    w = W.partitionBy("__key").orderBy("no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return each.withColumn("at", F.sum(F.length("text") + gap).over(w) - F.length("text") - gap)
 
 
-def _lines(rows: DataFrame, text_col: str) -> DataFrame:
-    """(__row, line, text, at) of the lines of rows that hold any pattern."""
-    some = rows.where(" or ".join(f"`{text_col}` rlike r'{p}'" for p in PATTERNS.values()))
-    return _placed_lines(some, text_col).where(" or ".join(f"text rlike r'{p}'" for p in PATTERNS.values()))
+def _passages(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PASSAGE}}}+{WORD[:-1]}*+"), F.lit(0))
 
 
-def base_spans(lines: DataFrame) -> DataFrame:
-    """(__row, line, kind, value, s, e) with offsets in the line."""
-    found = F.concat(*[F.when(F.col("text").rlike(p), _matches("text", k, p)).otherwise(F.array().cast("array<struct<kind:string,i:int,m:string,gap:string>>")) for k, p in PATTERNS.items()])
-    return _located(lines, found, ["__row", "line"]).where(_valid(F.col("kind"), F.col("m"))).select("__row", "line", "kind", F.col("m").alias("value"), F.col("start").alias("s"), F.col("end").alias("e"))
-
-
-def words_around(rows: DataFrame, text_col: str, spans: DataFrame) -> DataFrame:
-    """(__row, place, entity, term, s, e) of the base spans, and of the words without digits outside them, in every row
-    with a span; s and e are offsets in the text and place counts both kinds in order. spans: __row, kind, value, s, e."""
-    held = _placed_lines(rows.join(spans.select("__row").distinct(), "__row", "left_semi"), text_col)
-    words = _located(held, _matches("text", "word", WORD), ["__row", "line", "at"]).where((F.length("m") >= 3) & ~F.col("m").rlike("[0-9]"))
-    both = words.select("__row", F.lit(None).cast("string").alias("entity"), F.lower("m").alias("term"), (F.col("start") + F.col("at")).alias("s"), (F.col("end") + F.col("at")).alias("e")).unionByName(
-        spans.select("__row", F.concat_ws(":", "kind", F.lower("value")).alias("entity"), F.lit(None).cast("string").alias("term"), "s", "e")
-    )
-    order = W.partitionBy("__row").orderBy("s", F.col("entity").isNull(), "e")
-    covered = F.max(F.when(F.col("entity").isNotNull(), F.col("e"))).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    free = both.withColumn("covered", covered).where(F.col("entity").isNotNull() | F.col("covered").isNull() | (F.col("covered") <= F.col("s")))
-    return free.withColumn("place", F.row_number().over(order)).select("__row", "place", "entity", "term", "s", "e")
-
-
-def neighbours(around: DataFrame) -> DataFrame:
-    """(__row, entity, term) of the terms within WINDOW words of an entity."""
-    reach = F.explode(F.sequence(F.col("place") - WINDOW, F.col("place") + WINDOW))
-    spots = around.where("entity is not null").select("__row", "entity", reach.alias("place"))
-    return spots.join(around.where("term is not null").select("__row", "place", "term"), ["__row", "place"]).select("__row", "entity", "term").distinct()
+def _lines(texts: DataFrame) -> DataFrame:
+    """(__key, no, text, at) of the lines that hold any pattern."""
+    some = texts.where(" or ".join(f"__text rlike r'{p}'" for p in PATTERNS.values()))
+    return _placed(some, F.split("__text", "\n"), 1).where(" or ".join(f"text rlike r'{p}'" for p in PATTERNS.values()))
 
 
-def disclosing(rows: DataFrame, text_col: str, near: DataFrame, entities: DataFrame) -> DataFrame:
-    """(entity, term, share, action) of the terms that reveal an entity, from counts over all rows."""
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    pairs = materialize(pairs, "pii-pairs")
-    terms = pairs.select("term").distinct()
+def base_spans(lines: DataFrame) -> DataFrame:
+    """(__key, kind, value, line, s, e): offsets in the text, and a hash of the line."""
+    found = F.concat(*[F.when(F.col("text").rlike(p), _matches("text", k, p)).otherwise(F.array().cast("array<struct<kind:string,i:int,m:string,gap:string>>")) for k, p in PATTERNS.items()])
+    got = _located(lines, found, ["__key", "no"]).where(_valid(F.col("kind"), F.col("m"))).select("__key", "no", "kind", F.col("m").alias("value"), F.col("start").alias("s"), F.col("end").alias("e"))
+    here = lines.select("__key", "no", "at", F.xxhash64("text").alias("line"))
+    return got.join(here, ["__key", "no"]).select("__key", "kind", "value", "line", (F.col("s") + F.col("at")).alias("s"), (F.col("e") + F.col("at")).alias("e"))
+
+
+def entity(kind: Column, value: Column) -> Column:
+    """The entity that a value names."""
+    plain = F.when(kind == "email", F.lower(value)).when(kind == "ip", F.regexp_replace(value, r"(^|\.)0+(?=[0-9])", "$1")).otherwise(_digits(value))
+    return F.concat_ws(":", kind, plain)
+
+
+def entity_class(kind: Column, value: Column) -> Column:
+    """The class of an entity: what an entity seen too seldom shares with others."""
+    part = F.when(kind == "email", F.lower(F.regexp_extract(value, "@.*", 0))).when(kind == "ip", F.substring_index(F.regexp_replace(value, r"(^|\.)0+(?=[0-9])", "$1"), ".", 2))
+    return F.concat_ws(":", F.lit("class"), kind, part.when(kind == "card", F.substring(_digits(value), 1, 6)).otherwise(F.substring(_digits(value), 1, 4)))
+
+
+def words_around(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """(__key, no, entity, class, line, term, s, e) of the base spans, and of the words without digits outside them, in
+    every text with a span; no is the passage in which they start."""
+    held = materialize(_placed(texts.join(spans.select("__key").distinct(), "__key", "left_semi"), _passages(F.col("__text")), 0), "pii-passages")
+    words = _located(held, _matches("text", "word", WORD), ["__key", "no", "at"]).where((F.length("m") >= 3) & ~F.col("m").rlike("[0-9]"))
+    starts = held.select("__key", F.lit(0).alias("what"), "no", F.col("at").alias("s"), F.col("at").alias("e"))
+    named = spans.select("__key", F.lit(1).alias("what"), entity(F.col("kind"), F.col("value")).alias("entity"), entity_class(F.col("kind"), F.col("value")).alias("class"), "line", "s", "e")
+    terms = words.select("__key", F.lit(2).alias("what"), F.lower("m").alias("term"), (F.col("start") + F.col("at")).alias("s"), (F.col("end") + F.col("at")).alias("e"))
+    every = starts.unionByName(named, allowMissingColumns=True).unionByName(terms, allowMissingColumns=True)
+    before = W.partitionBy("__key").orderBy("s", "what", "e").rowsBetween(W.unboundedPreceding, W.currentRow)
+    covered = F.max(F.when(F.col("what") == 1, F.col("e"))).over(before)
+    placed = every.withColumn("covered", covered).withColumn("no", F.last("no", ignorenulls=True).over(before))
+    free = (F.col("what") == 1) | ((F.col("what") == 2) & (F.col("covered").isNull() | (F.col("covered") <= F.col("s"))))
+    return placed.where(free).select("__key", "no", "entity", "class", "line", "term", "s", "e")
+
+
+def disclosing(texts: DataFrame, around: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(target, term, share, action), the terms that reveal an entity or a class, and (target, n_e, lines); from counts
+    over all passages."""
+    spots = around.where("entity is not null").select("__key", "no", "line", F.explode(F.array("entity", "class")).alias("target")).distinct()
+    spots = materialize(spots, "pii-spots")
+    n_e = spots.groupBy("target").agg(F.countDistinct("__key", "no").alias("n_e"), F.countDistinct("line").alias("lines"))
+    n_e = materialize(n_e, "pii-entities")
+    here = around.where("term is not null").select("__key", "no", "term").distinct()
+    near = materialize(spots.join(here, ["__key", "no"]), "pii-near")
+    lines = near.select("target", "term", "line").distinct().groupBy("target", "term").agg(F.count(F.lit(1)).alias("lines")).where(F.col("lines") >= SUPPORT).select("target", "term")
+    both = near.select("target", "term", "__key", "no").distinct().groupBy("target", "term").agg(F.count(F.lit(1)).alias("n_te"))
+    pairs = materialize(both.join(lines, ["target", "term"]), "pii-pairs")
+    # the empty term is put into every passage, so that its count is that of all passages
+    terms = pairs.select("term").distinct().union(texts.sparkSession.createDataFrame([("",)], "term string"))
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    words = rows.select(F.explode(F.array_distinct(F.split(F.lower(text_col), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))).alias("term"))
+    passages = texts.select(F.explode(_passages(F.col("__text"))).alias("passage"))
+    words = passages.select(F.explode(F.array_union(F.split(F.lower("passage"), _NO_WORD), F.array(F.lit("")))).alias("term"))
     kept = words.join(F.broadcast(terms), "term", "left_semi") if few else words
-    n_t = kept.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n_e = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    total = F.lit(float(rows.count()))
+    n_t = materialize(kept.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "pii-terms")
+    total = F.lit(float(n_t.where("term = ''").agg(F.coalesce(F.sum("n_t"), F.lit(0)).alias("n")).first()["n"]))
     ic, pmi = F.log2(total / F.col("n_e")), F.log2(total * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
     share = F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
-    joined = pairs.join(materialize(n_t, "pii-terms"), "term").join(materialize(n_e, "pii-entities"), "entity").withColumn("share", share)
+    joined = pairs.join(n_t, "term").join(n_e, "target").withColumn("share", share)
     action = F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise")
-    return materialize(joined.where(F.col("share") >= GENERALISE).select("entity", "term", "share", action.alias("action")), "disclosing")
+    return materialize(joined.where(F.col("share") >= GENERALISE).select("target", "term", "share", action.alias("action")), "disclosing"), n_e
+
+
+def all_spans(texts: DataFrame) -> DataFrame:
+    """(__key, kind, s, e) of base and added spans, with offsets in the text. texts: __key and __text, each text once."""
+    spans = materialize(base_spans(materialize(_lines(texts), "pii-lines")), "pii-spans")
+    around = materialize(words_around(texts, spans), "pii-words")
+    found, n_e = disclosing(texts, around)
+    held = around.where("entity is not null").select("__key", "entity", "class").distinct()
+    # a class speaks for its entities that have too few lines of their own
+    own = held.join(n_e.select(F.col("target").alias("entity"), "lines"), "entity")
+    speaks = own.select("__key", F.when(F.col("lines") >= SUPPORT, F.col("entity")).otherwise(F.col("class")).alias("target")).distinct()
+    terms = around.where("term is not null").join(found.select("term").distinct(), "term", "left_semi")
+    terms = materialize(terms.select("__key", "term", "s", "e"), "pii-revealing")
+    marked = terms.select("__key", "term").distinct().join(speaks, "__key").join(found.select("target", "term", "action"), ["target", "term"]).groupBy("__key", "term").agg(F.max("action").alias("kind"))
+    return spans.select("__key", "kind", "s", "e").unionByName(terms.join(marked, ["__key", "term"]).select("__key", "kind", "s", "e"))
 
 
-def all_spans(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """(__row, kind, s, e) of base and added spans, with offsets in the text. rows: __row and the text."""
-    lines = materialize(_lines(rows, text_col), "pii-lines")
-    spans = base_spans(lines).join(lines.select("__row", "line", "at"), ["__row", "line"])
-    spans = materialize(spans.select("__row", "kind", "value", (F.col("s") + F.col("at")).alias("s"), (F.col("e") + F.col("at")).alias("e")), "pii-spans")
-    around = materialize(words_around(rows, text_col, spans), "pii-words")
-    near = materialize(neighbours(around), "pii-near")
-    entities = spans.select("__row", F.concat_ws(":", "kind", F.lower("value")).alias("entity")).distinct()
-    found = disclosing(rows, text_col, near, entities)
-    marked = entities.join(found, "entity").groupBy("__row", "term").agg(F.max("action").alias("kind"))
-    added = around.where("term is not null").join(marked, ["__row", "term"])
-    return spans.select("__row", "kind", "s", "e").unionByName(added.select("__row", "kind", "s", "e"))
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("__key"), *packed(docs, id_col, text_col))
+
+
+def spans_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(__key, spans array<struct<o, s, e, kind>>) by kind as listed, then start, of each text with a span."""
+    order = F.element_at(F.create_map(*[F.lit(x) for kv in _ORDER.items() for x in kv]), F.col("kind"))
+    texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text")).distinct()
+    got = all_spans(materialize(texts.select(F.unhex(F.md5("__text")).alias("__key"), "__text"), "pii-texts"))
+    per_text = got.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "s", "e", "kind"))).alias("spans"))
+    return materialize(per_text, "pii-rows")
 
 
 def _listed(kinds: list[str]) -> Column:
@@ -164,22 +208,22 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: counts of each base kind, the digest of the base spans, and all spans."""
-    got = with_spans(docs.select(id_col, text_col), text_col)
+    got = _keyed(docs, id_col, text_col).select("__key", "__id").join(spans_of(docs, text_col), "__key", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return got.select(id_col, *[count(k) for k in PATTERNS], F.sha2(_listed(list(PATTERNS)), 256).alias("base_sha256"), _listed(list(_ORDER)).alias("spans"))
+    return got.select(F.col("__id").alias(id_col), *[count(k) for k in PATTERNS], F.sha2(_listed(list(PATTERNS)), 256).alias("base_sha256"), _listed(list(_ORDER)).alias("spans"))
 
 
-def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def sanitised(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with personal data masked by kind, revealing terms removed, and generalised ones cut to their first letter."""
-    got = with_spans(docs, text_col)
+    got = _keyed(docs, id_col, text_col).join(spans_of(docs, text_col), "__key", "left")
     ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a, x):
-        text = F.substr(text_col, x["s"] + 1, -x["e"] - x["s"])
+        text = F.substr("__text", x["s"] + 1, -x["e"] - x["s"])
         put = F.when(x["kind"] == "remove", "").when(x["kind"] == "generalise", F.concat(F.substr(text, F.lit(1), F.lit(1)), F.lit("*"))).otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
-        gone = F.concat(a["out"], F.array(F.substr(text_col, a["at"] + 1, x["s"] - a["at"]), put))
+        gone = F.concat(a["out"], F.array(F.substr("__text", a["at"] + 1, x["s"] - a["at"]), put))
         return F.when(x["s"] < a["at"], a).otherwise(F.struct((-x["e"]).alias("at"), gone.alias("out")))
 
-    clean = F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text_col, a["at"] + 1, F.length(text_col))))
-    return got.select(*[F.when(F.size("spans") > 0, clean).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    clean = F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr("__text", a["at"] + 1, F.length("__text"))))
+    return got.select(*restored(docs, text_col, F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("__text"))))
