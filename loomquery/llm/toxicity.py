@@ -1,12 +1,16 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms of a document are its distinct words and the 4- and 5-byte stems of longer words, hashed by crc32. Terms that
-speak for the label (z score of their smoothed log odds over the distinct training texts) become the model's inputs;
-a tenth of a text's terms is left out at random in each epoch, so that a text with a single one is caught too. The machine y = b + sum w_i + 1/2 (|sum v_i|^2 - sum |v_i|^2) then learns a weight for every input
-and, through the factors, one for every pair of them, such as an insult together with a group.
+Terms of a document are its distinct words and the 4- and 5-byte stems of longer words, hashed by crc32. A term is an
+input of the model if it speaks for or against the label by itself (z score of its smoothed log odds over the distinct
+training texts), or if it does so in company: every pair of the frequent terms is tested for how far the label's rate
+in texts with both is from what the two rates alone would add up to. So terms that are neutral alone, such as the name
+of a group, come in with the insult beside them. The machine y = b + sum w_i + 1/2 (|sum v_i|^2 - sum |v_i|^2) then
+learns a weight for every input and, through the factors, one for every pair of them. A tenth of a text's inputs is
+left out at random in each epoch, so that a text with a single one is caught too.
 
 Nulls and empty texts have no terms and take the bias' score; a text of any length is scored whole; repeated rows and
-ties are scored alike; without two classes to learn from every score is the label's base rate (0 with no label).
+ties are scored alike; without two classes to learn from every score is the label's base rate (0 with no label); an
+empty table gives an empty result; columns of any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -24,8 +28,10 @@ from loomquery.session import materialize
 
 #: Bounds of the training sample: labelled rows, and bytes of a row that is learnt from.
 TRAIN_ROWS, TRAIN_BYTES = 20_000, 1_000_000
-#: Terms need this many training texts and this z score; at most MAX_TERMS of them become inputs.
-MIN_DF, MIN_Z, MAX_TERMS = 4, 3.0, 20_000
+#: Terms need this many training texts and this z score, on either side.
+MIN_DF, MIN_Z = 4, 3.0
+#: Pairs are tested among the PAIR_TERMS most frequent terms with this share of the texts, and need this z score.
+PAIR_TERMS, PAIR_SHARE, PAIR_Z = 2_000, 0.01, 5.0
 FACTORS, EPOCHS, LEFT_OUT, CACHE = 8, 200, 0.1, 400_000
 
 
@@ -105,6 +111,27 @@ def fit_machine(feats: list[list[int]], y: np.ndarray, n_terms: int, seed: int =
     return float(theta[0][0]), theta[1], theta[2]
 
 
+def telling_pairs(feats: list[list[int]], y: np.ndarray, n_terms: int) -> np.ndarray:
+    """Which of the terms 0..n_terms-1 belong to a pair whose texts' rate differs from what the terms add up to."""
+    if not n_terms:
+        return np.zeros(0, dtype=bool)
+    both, pos = np.zeros((n_terms, n_terms)), np.zeros((n_terms, n_terms))
+    for lo in range(0, len(feats), 2_000):
+        some = feats[lo : lo + 2_000]
+        x = np.zeros((len(some), n_terms), dtype=np.float32)
+        for i, f in enumerate(some):
+            x[i, f] = 1
+        both += x.T @ x
+        hit = x[y[lo : lo + 2_000] > 0]
+        pos += hit.T @ hit
+    logit = lambda k, n: np.log((k + 0.5) / (n - k + 0.5))
+    alone = logit(np.diag(pos), np.diag(both))
+    e = 1 / (1 + np.exp(-np.clip(alone[:, None] + alone[None, :] - logit(y.sum(), len(y)), -30, 30)))
+    z = np.abs(pos - both * e) / np.sqrt(np.maximum(both * e * (1 - e), 1.0))
+    tested = (both >= MIN_DF) & ~np.eye(n_terms, dtype=bool)
+    return ((z >= PAIR_Z) & tested).any(axis=1)
+
+
 def fit(sample: DataFrame) -> Machine:
     """Fit on a frame (text, y) of bounded size, such as label_sample gives."""
     sample = materialize(sample, "toxic-sample")
@@ -115,11 +142,11 @@ def fit(sample: DataFrame) -> Machine:
         return Machine({}, float(np.log(rate / (1 - rate))), np.zeros(0), np.zeros((0, FACTORS)))
     pos, neg = F.col("pos") + 0.5, F.col("df") - F.col("pos") + 0.5
     z = (F.log(pos / F.lit(p + 1.0)) - F.log(neg / F.lit(n - p + 1.0))) / F.sqrt(1 / pos + 1 / neg)
-    top = (
-        arrow_map(sample, _count_terms, "term long, pos long, df long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("df").alias("df"))
-        .where(F.col("df") >= MIN_DF).withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()
-    )
-    slots = {r["term"]: i for i, r in enumerate(top)}
+    counted = arrow_map(sample, _count_terms, "term long, pos long, df long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("df").alias("df"))
+    often = materialize(counted.where(F.col("df") >= MIN_DF).withColumn("z", z).where((F.abs("z") >= MIN_Z) | (F.col("df") >= PAIR_SHARE * n)), "toxic-terms")
+    frequent = [r["term"] for r in often.where(F.col("df") >= PAIR_SHARE * n).orderBy(F.desc("df"), "term").limit(PAIR_TERMS).collect()]
+    alone = {r["term"] for r in often.where(F.abs("z") >= MIN_Z).collect()}
+    slots = {t: i for i, t in enumerate([*frequent, *sorted(alone.difference(frequent))])}
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,7 +154,12 @@ def fit(sample: DataFrame) -> Machine:
             yield pa.RecordBatch.from_arrays([pa.array(rows, type=pa.list_(pa.int32())), b.column("y").cast(pa.int32())], ["f", "y"])
 
     rows = sorted((tuple(r["f"]), r["y"]) for r in arrow_map(sample, featurize, "f array<int>, y int").collect())
-    return Machine(slots, *fit_machine([list(f) for f, _ in rows], np.array([y for _, y in rows], dtype=float), len(slots)))
+    feats, y = [list(f) for f, _ in rows], np.array([y for _, y in rows], dtype=float)
+    paired = telling_pairs([[i for i in f if i < len(frequent)] for f in feats], y, len(frequent))
+    chosen = [t for t, i in slots.items() if t in alone or paired[i]]
+    place = {slots[t]: k for k, t in enumerate(chosen)}
+    feats = [[place[i] for i in f if i in place] for f in feats]
+    return Machine({t: k for k, t in enumerate(chosen)}, *fit_machine(feats, y, len(chosen)))
 
 
 def _scorer(model: Machine, text_col: str):
