@@ -30,7 +30,7 @@ def op2_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.repeated_units(table(spark, sf_dir, "documents")).drop("__row")
+    return units.repeated_units(table(spark, sf_dir, "documents"))
 
 
 def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
