@@ -9,8 +9,9 @@ Training documents are chained in pairs, so that the transitions learn what swit
 Chains of any length are exact: each block of words is reduced to its transfer matrix, blocks are chained by these,
 and then all blocks run at once from their exact borders.
 
-Null texts and texts without a letter are `und` with score 0; ties go to the language that sorts first; an empty
-table gives an empty result; without a labelled text everything is `und`.
+Null texts and texts without a letter are `und` with score 0; ties go to the language that sorts first; repeated rows
+are labelled alike; texts of any length are read whole; an empty table gives an empty result; without a labelled text
+everything is `und`; columns of docs beside id and text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from loomquery.llm.common import arrow_map, texts_of
 #: Bounds of the training sample: documents, and bytes of a document that is learnt from.
 TRAIN_ROWS, TRAIN_BYTES = 1_500, 20_000
 BUCKETS, BLOCK, EPOCHS, LEXICON, CACHE = 1 << 17, 128, 6, 300, 300_000
+#: Bytes of the longest word that is one state.
+LONGEST = 36
 
 
 def _letters_table() -> bytes:
@@ -49,12 +52,26 @@ def has_letter(text: bytes) -> bool:
 
 
 def split_words(text: bytes) -> list[bytes]:
-    return text.translate(_TABLE).split()
+    """Runs of letters; a run of more than LONGEST bytes, as in scripts without spaces, is cut between characters, so
+    that every part of it is a state of the chain and all of it is read."""
+    out = text.translate(_TABLE).split()
+    if not out or max(map(len, out)) <= LONGEST:
+        return out
+    cut: list[bytes] = []
+    for w in out:
+        while len(w) > LONGEST:
+            at = LONGEST
+            while at > 1 and w[at] & 0xC0 == 0x80:  # not inside a character
+                at -= 1
+            cut.append(w[:at])
+            w = w[at:]
+        cut.append(w)
+    return cut
 
 
 def features(word: bytes, lexicon: dict[bytes, tuple[int, ...]]) -> list[int]:
     """Buckets of a word's features."""
-    w = b"^" + word[:40] + b"$"
+    w = b"^" + word + b"$"
     crc, n = zlib.crc32, len(w)
     out = [crc(w), crc(w[:3], 3), crc(w[:4], 4), crc(w[-3:], 5), crc(w[-4:], 6)]
     out += [crc(w[i : i + 2], 1) for i in range(n - 1)]

@@ -7,7 +7,8 @@ and a logistic layer scores the weighted passage. Encoder, attention and classif
 labels.
 
 Null and empty texts are one passage without features; texts of any length are scored whole; repeated rows score
-alike; with labels of a single class every score is that class's rate; an empty table gives an empty result.
+alike; passages of equal weight: the first is the top one; with labels of a single class every score is that class's
+rate; an empty table gives an empty result; columns of docs beside id and text play no part, whatever their names.
 """
 
 from __future__ import annotations
