@@ -10,7 +10,8 @@ connected components join the stars. Trees stay with their shard instead of bein
 the data.
 
 Null and empty texts have fingerprint zero and link like any other; texts of fewer words than a shingle give one
-shingle of all their words; copies share one node; null ids take no part in the choice of the smallest id.
+shingle of all their words; copies share one node; null ids take no part in the choice of the smallest id, and of rows
+that tie in it the first stays; an empty table gives an empty result; columns of any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomquery.llm.common import arrow_map, texts_of
+from loomquery.llm.common import arrow_map, numbered, restored, texts_of
 from loomquery.operators.components import connected_components
 from loomquery.session import materialize
 
@@ -56,18 +57,17 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
-    """(id, fp long), and the row's number where asked for."""
-    keep = [id_col, *(["__row"] if with_row else [])]
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, columns to keep, fp long) of every row."""
+    keep = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in texts_of(b, text_col)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fp)], [*keep, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, " + ("__row long, " if with_row else "") + "fp long"
-    return arrow_map(docs.select(*keep, text_col), run, schema)
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return arrow_map(docs.select(*keep, text_col), run, f"{schema}, fp long")
 
 
 class Forest:
@@ -233,9 +233,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows, with all their columns, that come first in their component by (id, nulls last; place in the input)."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    fps = materialize(fingerprints(rows, id_col, text_col, with_row=True), "fingerprints")
-    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    rows = numbered(docs, id_col, text_col, "near-rows")
+    fps = materialize(fingerprints(rows, "__id", "__text", ("__row",)), "fingerprints")
+    first = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
     nodes = materialize(fps.groupBy("fp").agg(F.min(first).alias("least")), "nodes")
     comp = linked(nodes.select("fp"))
     tops = comp.join(nodes, comp.node == nodes.fp).select("root", "fp", "least")
@@ -243,4 +243,4 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     alone = nodes.join(comp.select(F.col("node").alias("fp")), "fp", "left_anti").select(F.col("least.row").alias("row"))
     kept = materialize(alone.union(kept_roots), "kept-rows")
     # by hash at every size: the kept rows grow with the input, and sorting whole texts would gain nothing
-    return rows.join(kept.hint("shuffle_hash"), rows["__row"] == kept["row"], "left_semi").drop("__row")
+    return rows.join(kept.hint("shuffle_hash"), rows["__row"] == kept["row"], "left_semi").select(*restored(docs, text_col))
