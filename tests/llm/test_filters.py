@@ -9,8 +9,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 pytest.importorskip("loomquery.llm")
-from loomquery.llm import contamination, packing, simhash, toxicity
-from loomquery.llm.common import BATCH_ROWS, words
+from loomquery.llm import contamination, packing, pii, simhash, templates, toxicity, units
+from loomquery.llm.common import BATCH_BYTES, BATCH_ROWS, bounded, words
 from loomquery.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -190,6 +190,27 @@ def test_packing_chunks_without_ids_in_two_batches(spark):
     check_packed(rows, own_pieces(texts))
 
 
+def test_packing_with_another_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Hello  World\n\n of words", "\u00a0 x  ", None, "A b"]
+    rows = {r["doc_id"]: r for r in packing.pack(frame(spark, texts), path).collect()}
+    assert packing.by_chunks(tokenizer_path()) and not packing.by_chunks(path)
+    for i, t in enumerate(texts):
+        ids = [*Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids, 0]
+        assert rows[i]["ids_crc32"] == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+
+
+def test_encoder_with_a_full_cache(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 3)
+    encoder, rng = packing.Encoder(tokenizer_path()), random.Random(2)
+    for _ in range(20):
+        texts = [" ".join(rng.choice(["The", "of...", "(word)", "a&&&", "x-y", "12", "it's", "\u00a0", "É!"]) for _ in range(9)) for _ in range(3)]
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.encode([t.encode() for t in texts])] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def exact_bins(sizes, capacity):
     """Fewest bins, by trying every way (small instances)."""
     sizes, best = sorted(sizes, reverse=True), [len(sizes)]
@@ -227,6 +248,57 @@ def test_dominance_keeps_the_optimum():
     assert reduced > 50
 
 
+def test_toxicity_learns_pairs_of_terms_that_are_neutral_alone(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(500):  # every one of the four words is in as many toxic texts as clean ones
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        t = [f"w{rng.randrange(200)}" for _ in range(40)] + ["insult" if a else "praise", "group" if b else "team"]
+        rng.shuffle(t)
+        rows.append((" ".join(t), int(a == b)))
+    model = toxicity.fit(spark.createDataFrame(rows[:400], "text string, y int"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame(spark, [t for t, _ in rows[400:]]), model).collect()}
+    assert sum((got[i] >= 0.5) == bool(y) for i, (_, y) in enumerate(rows[400:])) >= 95
+
+
+def test_machine_equals_pairwise_sum():
+    rng = np.random.default_rng(6)
+    model = toxicity.Machine({}, 0.3, rng.normal(size=20), rng.normal(size=(20, toxicity.FACTORS)))
+    feats = [[], [3], [1, 4], [0, 2, 5, 7, 19], list(range(20))]
+    want = [model.b + sum(model.w[i] for i in f) + sum(model.v[i] @ model.v[j] for n, i in enumerate(f) for j in f[n + 1 :]) for f in feats]
+    assert np.allclose(model.raw(feats), want)
+
+
+def test_bounded_batches_and_columns_that_clash(spark):
+    """Every name an operator adds, as a column of the caller's, on rows that come out of a shuffle."""
+    import pyarrow as pa
+
+    texts = ["x" * 200_000, "y", None, "z" * 5_000_000] * 30
+    got = list(bounded(iter([pa.RecordBatch.from_pydict({"t": pa.array(texts)})])))
+    assert [t for b in got for t in b.column("t").to_pylist()] == texts
+    assert all(b.num_rows == 1 or b.nbytes <= BATCH_BYTES for b in got)
+    names = "__row __id __rest __text __new __gone __lines __templates __pos __hit __n_words __spans __items __key __cut spans removed kind score fp row least root shard".split()
+    stock = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty."
+    docs = frame(spark, [f"{stock}\n{chr(97 + i) * 4} jo{i}@x.org text {i} {chr(97 + i) * 3}" for i in range(12)]).select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names]).repartition(3)
+    bench = spark.createDataFrame([(1, "never seen in any of the texts here at all today")], "item_id long, text string")
+    model = toxicity.Machine({}, -5.0, np.zeros(0), np.zeros((0, 8)))
+    outs = {
+        "sanitised": pii.sanitised(docs), "deduplicated": units.deduplicated(docs), "templates": templates.drop_recurring(docs, length_col="n_chars"),
+        "contamination": contamination.drop_contaminated(docs, bench), "toxicity": toxicity.keep_clean(docs, model, 0.5), "simhash": simhash.keep_one(docs),
+    }
+    for name, out in outs.items():
+        rows = out.collect()
+        assert out.columns[: len(docs.columns)] == docs.columns and len(set(out.columns)) == len(out.columns), name
+        assert len(rows) == 12, name
+        for r in rows:  # a row keeps its own values, whatever happened to its text
+            assert all(r[n] == f"{n}{r['doc_id']}" for n in names), name
+            assert f"text {r['doc_id']}" in r["text"], name
+    assert outs["templates"].where("n_chars = length(text)").count() == 12
+    assert outs["templates"].where(F.col("text").contains(stock)).count() == 1
+    assert outs["deduplicated"].where(F.col("text").contains(stock)).count() == 1
+    assert packing.pack(docs.withColumn("piece", F.lit("x")).withColumn("length", F.lit("x")), tokenizer_path()).count() == 12
+
+
 def test_toxicity_learns_pairs_and_defines_edge_cases(spark):
     rng = random.Random(8)
     filler = [f"w{i}" for i in range(200)]

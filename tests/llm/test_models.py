@@ -46,9 +46,9 @@ def test_quality_gradients_match_finite_differences():
     y, weight = np.array([1.0, 0.0, 1.0]), np.array([0.4, 0.3, 0.3])
     g = model.gradients(*bag, y, weight)
     loss = lambda: -(weight * (y * np.log(p := model.forward(*bag)[-1]) + (1 - y) * np.log(1 - p))).sum()
-    for name in ("V", "U", "w", "o", "c", "b"):
+    for name in ("V", "U", "w", "o", "c", "b", "E"):
         a = getattr(model, name)
-        i = tuple(rng.integers(0, s) for s in a.shape)
+        i = (int(bag[1][0]), 2) if name == "E" else tuple(rng.integers(0, s) for s in a.shape)
         old, eps = a[i], 1e-5
         a[i] = old + eps
         up = loss()
@@ -58,6 +58,22 @@ def test_quality_gradients_match_finite_differences():
         assert abs((up - down) / (2 * eps) - g[name][i]) < 1e-4
 
 
+def test_quality_forward_equals_plain_sums():
+    model = quality.Attention.fresh(5)
+    texts = [b"a B c " * 60, b"X9 y zz", b""]
+    feats = [quality.passage_features(t, {}) for t in texts]
+    *_, got = model.forward(*quality._bag(feats))
+    for (p, f, x), y in zip(feats, got):
+        hs, ss = [], []
+        for k in range(int(p[-1]) + 1 if len(p) else 1):
+            pre = model.c + sum((model.E[b] * v for q, b, v in zip(p, f, x) if q == k), np.zeros(len(model.c)))
+            h = np.tanh(pre)
+            hs.append(h)
+            ss.append(sum(model.w[j] * np.tanh(h @ model.V[:, j]) / (1 + np.exp(-(h @ model.U[:, j]))) for j in range(len(model.w))))
+        alpha = np.exp(ss) / np.exp(ss).sum()
+        assert abs(y - 1 / (1 + np.exp(-(sum(a * h for a, h in zip(alpha, hs)) @ model.o + model.b[0])))) < 1e-9
+
+
 def brute_marginals(em, trans):
     n, k = em.shape
     post, pairs, z = np.zeros((n, k)), np.zeros((k, k)), 0.0
@@ -102,6 +118,36 @@ def test_language_labels_switched_words_and_edge_cases(spark):
     assert language.label(frame(spark, []), model).count() == 0
 
 
+def test_language_prediction_equals_plain_sums(spark):
+    rng = random.Random(4)
+    vocab = {"de": ["der", "keit", "über"], "en": ["the", "thing", "shed"], "fr": ["les", "eaux", "très"]}
+    model = language.fit([" ".join(rng.choice(vocab[x]) for _ in range(8)).encode() for x in [*vocab] * 20], [*vocab] * 20)
+    texts = [" ".join(rng.choice(rng.choice([*vocab.values()])) for _ in range(n)) for n in (1, 2, 5, 6)]
+    got = {r["doc_id"]: r for r in language.label(frame(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        em = np.array([sum(model.weights.astype(np.float32)[b] for b in language.features(w, model.lexicon)) for w in language.split_words(t.encode())])
+        mean = brute_marginals(em.astype(float), model.trans)[0].mean(0)
+        assert got[i]["lang_pred"] == model.langs[mean.argmax()] and abs(got[i]["score"] - mean.max()) < 1e-4
+
+
+def test_language_reads_all_of_a_text_without_spaces(spark):
+    rng = random.Random(5)
+    run = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    kana, han = "あいうえおかきくけこさしすせそ", "的一是不了人我在有他这中大来上"
+    model = language.fit([run(c, 60).encode() for c in (kana, han) * 60], ["ja", "zh"] * 60)
+    texts = [run(kana, 30) + run(han, 3000), run(han, 30) + run(kana, 3000), run(kana, 200)]  # the first words mislead
+    got = {r["doc_id"]: r for r in language.label(frame(spark, texts), model, with_words=True).collect()}
+    assert [got[i]["lang_pred"] for i in range(3)] == ["zh", "ja", "ja"]
+    assert all("".join(got[i]["words"]) == texts[i] for i in range(3))
+
+
+def test_many_long_texts_in_one_batch(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("Der über "), F.col("id").cast("string"), F.lit(" ")), 20_000).alias("text")).coalesce(1)
+    model = language.fit([b"der und", b"the and"] * 9, ["de", "en"] * 9)
+    assert language.label(docs, model).where("lang_pred = 'de'").count() == 40
+    assert quality.score(docs, quality.Attention.fresh()).where("n_passages = 938").count() == 40
+
+
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -160,24 +206,116 @@ def test_pii_terms_go_from_whole_documents_and_count_over_lines(spark):
     assert all(not rows[i] for i in range(3, 44))
 
 
-def test_units_equal_brute_force(spark):
+def test_pii_shares_equal_plain_counts(spark):
+    """PMI over IC from counts of passages, counted one by one."""
+    rng = random.Random(11)
+    filler = [f"{a}{b}{c}ow" for a in "bdfgk" for b in "aeiou" for c in "lmn"]
+    say = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    texts = []
+    for i in range(150):
+        near = rng.choice(["Zorblax", "Quendor", rng.choice(filler)])
+        who = {"Zorblax": "jo@x.org", "Quendor": rng.choice(["a@q.net", "+1 (555) 123-4567"])}.get(near, f"u{i}@x.org")
+        texts.append(f"{say(rng.randrange(5, 90))} {near} {say(3)} {who} {say(rng.randrange(5, 90))}\n{say(9)}" if i % 3 else say(60))
+    texts += texts[:40] + [None, "", "Zorblax elsewhere"]  # copies must change nothing
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    n, n_t, n_e, n_te, lines, lines_te = 0, {}, {}, {}, {}, {}
+    for t in sorted({t for t in texts if t}):
+        at = 0
+        spans = [(k, m.start(), m.end(), m[0]) for k, p in KINDS.items() for m in re.finditer(p, t) if valid(k, m[0])]
+        for m in re.finditer(r"(?s).{1,400}[0-9A-Za-z\x80-\U0010ffff]*", t):
+            n += 1
+            for w in set(re.findall(word, m[0].lower())):
+                n_t[w] = n_t.get(w, 0) + 1
+            here = [s for s in spans if m.start() <= s[1] < m.end()]
+            terms = {x[0].lower() for x in re.finditer(word.replace("\\x60", "\\x40\\x5B-\\x60"), m[0]) if len(x[0]) >= 3 and not re.search("[0-9]", x[0])
+                     and not any(s < m.start() + x.end() and m.start() + x.start() < e for _, s, e, _ in spans)}
+            named = set()
+            for k, s, _, v in here:
+                line = t[t.rfind("\n", 0, s) + 1 :].split("\n")[0]
+                digits = re.sub("[^0-9]", "", v)
+                for target in (f"{k}:{v.lower() if k == 'email' else digits}", f"class:{k}:{v[v.index('@'):].lower() if k == 'email' else digits[:4]}"):
+                    named.add(target)
+                    lines.setdefault(target, set()).add(line)
+                    for w in terms:
+                        lines_te.setdefault((target, w), set()).add(line)
+            for target in named:
+                n_e[target] = n_e.get(target, 0) + 1
+                for w in terms:
+                    n_te[target, w] = n_te.get((target, w), 0) + 1
+    want = {}
+    for (e, w), both in n_te.items():
+        share = np.log2(n * both / (n_t[w] * n_e[e])) / np.log2(n / n_e[e])
+        if len(lines_te[e, w]) >= 2 and share >= pii.GENERALISE:
+            want[e, w] = (round(float(share), 9), "remove" if share >= pii.REMOVE else "generalise")
+    docs = frame(spark, texts)
+    keyed = docs.select(F.coalesce("text", F.lit("")).alias("__text")).distinct().select(F.unhex(F.md5("__text")).alias("__key"), "__text")
+    spans = pii.base_spans(pii._lines(keyed))
+    found, _ = pii.disclosing(keyed, pii.words_around(keyed, spans))
+    got = {(r["target"], r["term"]): (round(r["share"], 9), r["action"]) for r in found.collect()}
+    assert got == want and ("email:jo@x.org", "zorblax") in want and any(e.startswith("class:") for e, _ in want)
+
+
+def plain_units(text, min_words=6):
+    """Own splitter: (start, end, words, normalised, line, whole, number)."""
+    no, at = 0, 0
+    for line in text.split("\n"):
+        words = line.lower().split()
+        if words:
+            lead = at + len(line) - len(line.lstrip())
+            end = at + len(line.rstrip())
+            yield lead, end, len(words), " ".join(words), lead, True, no
+            parts, here = [], lead
+            for m in re.finditer(r"[.!?]+(?=\s|$)", text[lead:end]):  # sentences end in marks before white space
+                parts.append((here, lead + m.end()))
+                here = lead + m.end()
+            parts.append((here, end))
+            n = 0
+            for a, z in parts if len(words) >= min_words else []:
+                a += len(text[a:z]) - len(text[a:z].lstrip())
+                w = text[a:z].lower().split()
+                if len(w) >= min_words and (a, z) != (lead, end):
+                    yield a, z, len(w), " ".join(w), lead, False, no + n
+                    n += 1
+            no += max(n, 1)
+        at += len(line) + 1
+
+
+def plain_repeats(texts, ids, min_passage):
+    order = sorted(range(len(texts)), key=lambda i: (ids[i] is None, ids[i] or 0, i))
+    seen, out = {}, []
+    for i in order:
+        every = list(plain_units(texts[i] or ""))
+        for s, _, _, key, *_ in every:
+            seen.setdefault(key, (i, s))
+        again = [u for u in every if seen[u[3]] != (i, u[0])]
+        whole = {u[4] for u in again if u[5]}
+        again = sorted(u for u in again if u[5] or u[4] not in whole)
+        upto = {}
+        for u in every:
+            upto[u[4]] = max(upto.get(u[4], 0), u[6] + 1)
+        runs, last = [], None
+        for u in again:
+            if last is None or last != u[6]:
+                runs.append([])
+            runs[-1].append(u)
+            last = upto[u[4]] if u[5] else u[6] + 1
+        for run in runs:
+            if sum(u[2] for u in run) >= min_passage:
+                out += [(ids[i], u[0], u[1], ids[seen[u[3]][0]], seen[u[3]][1]) for u in run]
+    return out
+
+
+@pytest.mark.parametrize("min_passage", [1, 20])
+def test_units_equal_brute_force(spark, min_passage):
     rng = random.Random(3)
     sent = [" ".join(rng.choice("abcdefg") * 2 for _ in range(rng.randrange(3, 12))).capitalize() + rng.choice([".", "!", "?", ""]) for _ in range(40)]
     texts = [rng.choice([" ", "\n", "  "]).join(rng.choice(sent) for _ in range(rng.randrange(12))) for _ in range(60)] + [None, "", "v4.0 x", texts_dup := "One two three four five six seven."] + [texts_dup] * 2
     ids = list(range(len(texts)))
     ids[5], ids[9] = None, 8
-    seen, want = {}, []
-    order = sorted(range(len(texts)), key=lambda i: (ids[i] is None, ids[i] or 0, i))
-    for i in order:
-        for s, e, n, d in units.units(texts[i] or ""):
-            key = " ".join(texts[i][s:e].lower().split())
-            if key in seen:
-                want.append((ids[i], s, e, *seen[key]))
-            else:
-                seen[key] = (ids[i], s)
-    got = units.repeated_units(frame(spark, texts, ids).withColumn("start", F.lit(0)).coalesce(1)).collect()
-    assert sorted(map(str, ((r["doc_id"], r["start"], r["end"], r["kept_id"], r["kept_start"]) for r in got))) == sorted(map(str, want))
-    out = units.deduplicated(frame(spark, texts, ids).coalesce(1))
+    want = plain_repeats(texts, ids, min_passage)
+    got = units.repeated_units(frame(spark, texts, ids).withColumn("start", F.lit(0)).coalesce(1), min_passage=min_passage).collect()
+    assert want and sorted(map(str, ((r["doc_id"], r["start"], r["end"], r["kept_id"], r["kept_start"]) for r in got))) == sorted(map(str, want))
+    out = units.deduplicated(frame(spark, texts, ids).coalesce(1), min_passage=1)
     assert out.columns[-1] == "removed" and out.count() == len(texts)
     assert out.where("doc_id = 64").first()["text"] == ""
     assert units.repeated_units(frame(spark, [])).count() == 0
@@ -186,10 +324,10 @@ def test_units_equal_brute_force(spark):
 def test_units_remove_repeated_lines_of_any_length(spark):
     texts = ["All rights reserved.\nLine of its own\n日本語の行", "Mine\n  all  RIGHTS reserved. \n\n日本語の行\nMine", "Short one. One two three four five six seven. Tail.\n \n"]
     texts += [texts[2] + "x", "Begin. One two three four five six seven. End."]
-    got = sorted((r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]], r["kept_id"]) for r in units.repeated_units(frame(spark, texts)).collect())
+    got = sorted((r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]], r["kept_id"]) for r in units.repeated_units(frame(spark, texts), min_passage=1).collect())
     inner, line = "One two three four five six seven.", "Short one. One two three four five six seven. Tail."
     assert got == [(1, "Mine", 1), (1, "all  RIGHTS reserved.", 0), (1, "日本語の行", 0), (3, line, 2), (4, inner, 2)]
-    out = [r["text"] for r in units.deduplicated(frame(spark, texts)).orderBy("doc_id").collect()]
+    out = [r["text"] for r in units.deduplicated(frame(spark, texts), min_passage=1).orderBy("doc_id").collect()]
     assert out == [texts[0], "Mine\n   \n\n\n", texts[2], "\n \nx", "Begin.  End."]
 
 
@@ -218,8 +356,46 @@ def test_maxscore_skips_rows_without_essential_postings():
     x[7, 0] = 50
     best = maxscore.TopK(1)
     best.add(np.array([2000.0]), np.array([500]))
-    scored = maxscore.search_shard(np.array([100.0, 0, 0, 1.0]), -1, x, np.arange(100), x.max(0), np.zeros(4), best)
-    assert scored == 1 and best.ids.tolist() == [7]
+    shard = maxscore.Shard(x, np.arange(100), bucket=4)
+    shard.search(np.array([100.0, 0, 0, 1.0]), -1, best)
+    traversed, in_essential, scored, rows = shard.seen
+    assert best.ids.tolist() == [7] and traversed == 4 and in_essential == 4 and scored == 1 and rows == 100
+
+
+def test_maxscore_share_of_rows_scored(capsys):
+    """On dense vectors nearly every row is in some essential list; what is saved is the scoring. On sparse ones rows go unseen."""
+    import duckdb
+
+    got = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet' ORDER BY vec_id").fetchall()
+    dense = np.floor(256 * np.array([v for _, v in got], dtype=float))
+    rng = np.random.default_rng(0)
+    sparse = np.where(rng.random((4000, 64)) < 0.05, np.floor(256 * rng.random((4000, 64))), 0)
+    for name, x, most_seen, most_scored in (("sf0.1", dense, 1.0, 0.7), ("sparse", sparse, 0.6, 0.4)):
+        ids, seen = np.arange(len(x)), np.zeros(4, dtype=np.int64)
+        best = [maxscore.TopK(5) for _ in range(0, len(x), 50)]
+        for lo in range(0, len(x), 500):
+            shard = maxscore.Shard(x[lo : lo + 500], ids[lo : lo + 500])
+            for i, b in enumerate(best):
+                shard.search(x[i * 50], i * 50, b)
+            seen += shard.seen
+        for i, b in enumerate(best):
+            want = sorted((-int(x[i * 50] @ v), j) for j, v in enumerate(x) if j != i * 50)[:5]
+            assert [(-int(s), int(j)) for s, j in zip(b.score, b.ids)] == want
+        with capsys.disabled():
+            print(f"\nmaxscore, {name}: {seen[0] / (64 * seen[3]):.3f} of postings traversed, {seen[1] / seen[3]:.3f} of rows in essential lists, {seen[2] / seen[3]:.3f} scored in full")
+        assert seen[1] <= most_seen * seen[3] and seen[2] <= most_scored * seen[3]
+
+
+def test_maxscore_is_exact_beyond_doubles_and_longs(spark):
+    big = 2.0**52
+    vecs = [[big, 1.0], [1.0, 2.0**-8], [1.0, 2.0**-7], [1.0, 0.0], [1e200, 1.0], [-1e200, 0.0]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    ints = [[int(np.floor(256 * np.float64(c))) for c in v] for v in vecs]
+    want = sorted((-sum(a * b for a, b in zip(ints[0], v)), i) for i, v in enumerate(ints) if i)[:5]
+    got = maxscore.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()
+    limit = lambda x: max(min(x, 2**63 - 1), -(2**63))
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, limit(-s)) for s, i in want]
+    assert -want[1][0] - -want[2][0] < 2**9 < 2**60 < -want[1][0]  # ranks that doubles cannot tell
 
 
 def test_recurring_templates_drop(spark):
@@ -227,10 +403,32 @@ def test_recurring_templates_drop(spark):
     prose = lambda n: " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(n))
     texts = [f"{prose(20)}\nPage {i} of the daily report\n{prose(25)}" for i in range(8)]
     copy = f"{prose(12)}\n{prose(14)}"
-    texts += [copy] * 9 + [None, "", "\n\n", "Page 3 of the daily report"]
-    docs = frame(spark, texts).withColumn("__n", F.lit(1))
-    out = {r["doc_id"]: r for r in templates.drop_recurring(docs).collect()}
-    assert all(out[i]["text"].count("\n") == 1 and "Page" not in out[i]["text"] and out[i]["__n_dropped"] == 1 for i in range(8))
-    assert all(out[i]["text"] == copy for i in range(8, 17))  # whole copies are for near-duplicate search
-    assert [out[i]["text"] for i in range(17, 21)] == texts[17:21] and out[17]["__n_lines"] == 0
+    texts += [copy] * 9 + [None, "", "\n\n", "Page 3 of the daily report", "Page 4 of the daily report\nPage 4 of the daily report"]
+    docs = frame(spark, texts).repartition(3)
+    out = {r["doc_id"]: r["text"] for r in templates.drop_recurring(docs).collect()}
+    assert out[0] == texts[0]  # the first text that has a template keeps it
+    assert all(out[i].count("\n") == 1 and "Page" not in out[i] for i in range(1, 8))
+    assert all(out[i] == copy for i in range(8, 17))  # copies are one text
+    assert [out[i] for i in range(17, 20)] == texts[17:20] and out[20] == "" and out[21] == ""  # boilerplate alone goes whole
+    got = {r["doc_id"]: r for r in templates.report(docs).collect()}
+    assert got[17]["n_lines"] == 0 and got[21]["n_dropped"] == 2 and got[1]["n_templates"] == 1
     assert templates.report(frame(spark, [])).count() == 0
+
+
+def test_recurring_lines_are_found(spark):
+    """Lines that occur in MIN_DOCS distinct texts or more, word for word: how many occurrences beside the first text's go."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    out = {r["doc_id"]: r["text"] for r in templates.drop_recurring(frame(spark, texts)).collect()}
+    having = {}
+    for t in texts:
+        for line in set((t or "").split("\n")):
+            having.setdefault(line, set()).add(t)
+    stock = {x for x, of in having.items() if x.strip() and len(of) >= templates.MIN_DOCS and not re.search("[0-9]", x)}
+    first = {}
+    for t in texts:
+        for line in (t or "").split("\n"):
+            first.setdefault(line, t)
+    again = [(i, x) for i, t in enumerate(texts) for x in set((t or "").split("\n")) & stock if first[x] != t]
+    gone = sum(x not in out[i].split("\n") for i, x in again)
+    print(f"{gone} of {len(again)} recurring lines dropped")
+    assert len(again) > 100 and gone >= 0.9 * len(again)

@@ -1,5 +1,6 @@
 """The pipeline on the smallest tables against a plain version of every stage, and the contract's columns."""
 
+import math
 import re
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("loomquery.llm")
 import corpus_pipeline
 from loomquery.llm import queries, templates, toxicity
-from loomquery.llm.common import fold
+from loomquery.llm.common import fold, words
 from test_filters import brute_components, brute_fp, brute_hits, check_packed, own_pieces
 
 SF = "/root/testdata/sf0.001"
@@ -23,29 +24,25 @@ def brute_templates(texts):
             if toks:
                 masked = ["<*>" if re.search("[0-9]", x) else x for x in toks]
                 lines.append((d, pos, masked, (len(masked), tuple(masked[: templates.DEPTH]))))
-    docs_of, token_docs, template_docs = {}, {}, {}
+    texts_of, token_texts, template_texts = {}, {}, {}
     for d, _, _, leaf in lines:
-        docs_of.setdefault(leaf, set()).add(d)
-    lines = [x for x in lines if len(docs_of[x[3]]) >= templates.MIN_DOCS]
+        texts_of.setdefault(leaf, set()).add(texts[d])
+    lines = [x for x in lines if len(texts_of[x[3]]) >= templates.MIN_DOCS]
     for d, _, m, leaf in lines:
         for i, x in enumerate(m):
-            token_docs.setdefault((leaf, i, x), set()).add(d)
+            token_texts.setdefault((leaf, i, x), set()).add(texts[d])
     strong = []
     for d, pos, m, leaf in lines:
-        g = tuple(x if x != "<*>" and len(token_docs[leaf, i, x]) >= templates.MIN_DOCS else "<*>" for i, x in enumerate(m))
+        g = tuple(x if x != "<*>" and len(token_texts[leaf, i, x]) >= templates.MIN_DOCS else "<*>" for i, x in enumerate(m))
         if sum(x != "<*>" for x in g) >= templates.MIN_FIXED * len(g):
-            strong.append((d, pos, len(m), g))
-            template_docs.setdefault(g, set()).add(d)
-    hits = {}
-    for d, pos, n, g in strong:
-        if len(template_docs[g]) >= templates.MIN_DOCS:
-            hits.setdefault(d, []).append((pos, n))
-    out = list(texts)
-    for d, found in hits.items():
-        parts = texts[d].split("\n")
-        total = sum(len([x for x in re.split(r"[ \t\r\f\x0B]+", p) if x]) for p in parts)
-        if sum(n for _, n in found) <= templates.MAX_SHARE * total:
-            out[d] = "\n".join(p for i, p in enumerate(parts) if i not in {pos for pos, _ in found})
+            strong.append((d, pos, g))
+            template_texts.setdefault(g, []).append(texts[d])  # rows are in the order of their ids
+    out, gone = list(texts), {}
+    for d, pos, g in strong:
+        if len(set(template_texts[g])) >= templates.MIN_DOCS and texts[d] != template_texts[g][0]:
+            gone.setdefault(d, set()).add(pos)
+    for d, places in gone.items():
+        out[d] = "\n".join(p for i, p in enumerate(texts[d].split("\n")) if i not in places)
     return out
 
 
@@ -53,7 +50,11 @@ def test_pipeline_equals_plain_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels, bench = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     model = toxicity.train(docs, labels, fold("doc_id", 3) != 1)
-    score = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    score = {}
+    for r in docs.collect():  # the machine's sum, pair by pair
+        f = sorted({model.slots[h] for w in set(words((r["text"] or "").encode())) for h in toxicity.term_hashes(w) if h in model.slots})
+        raw = model.b + sum(model.w[i] for i in f) + sum(float(model.v[i] @ model.v[j]) for n, i in enumerate(f) for j in f[n + 1 :])
+        score[r["doc_id"]] = 1 / (1 + math.exp(-min(max(raw, -30), 30)))
     rows = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect() if score[r["doc_id"]] < 0.7]
     rows = list(zip([i for i, _ in rows], brute_templates([t for _, t in rows])))
     comp = brute_components([i for i, _ in rows], [brute_fp(t) for _, t in rows])
