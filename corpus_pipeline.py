@@ -2,12 +2,15 @@
 
 Toxic documents go; recurring template lines go; of near copies one document stays; documents that hold a benchmark
 window go; what is left is packed. Every stage is written as Parquet and read again before the next.
+
+Null and empty texts are documents like any other (one empty text stays after near-dedup); repeated rows and ties in
+doc_id are handled as each stage's operator states; an empty table gives an empty result; extra columns of any name
+pass through all stages but the last, which returns pieces.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomquery.llm import contamination, packing, simhash, templates, toxicity
 from loomquery.llm.common import fold
@@ -26,9 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their recurring template lines; n_chars follows where a line went."""
-    got = templates.drop_recurring(docs)
-    cols = [F.when(F.col("__n_dropped") > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return got.select(*cols)
+    return templates.drop_recurring(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
