@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,28 +53,37 @@ def expand_graph(edges: DataFrame, seeds: DataFrame, decays: list[float], floor:
 
 
 def leader_clusters(df: DataFrame, key: str, id_col: str, vec: str, threshold: float) -> DataFrame:
-    """Greedy leader clustering inside every key, in id order: a row joins the most similar running centroid at
-    `threshold` or more, else it founds a cluster. Order-dependent by definition, so each key is one group in pandas;
-    keys bound the group size."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col)
-        sums: list[np.ndarray] = []
-        out = []
-        for v in pdf["__vec"]:
-            v = np.asarray(v, dtype=float)
-            unit = v / max(float(np.linalg.norm(v)), 1e-8)
-            sims = [float(s @ unit) / max(float(np.linalg.norm(s)), 1e-8) for s in sums]
-            if sims and max(sims) >= threshold:
-                at = int(np.argmax(sims))
-                sums[at] = sums[at] + unit
-            else:
-                at = len(sums)
-                sums.append(unit)
-            out.append(at)
-        return pd.DataFrame({key: pdf[key], id_col: pdf[id_col], "cluster": out})
+    """(key, id, cluster): greedy leader clustering inside every key, in id order. A row joins the most similar running
+    centroid at `threshold` or more, the first of equals, else it founds a cluster.
+
+    Every decision needs all before it, so a key is one chain by definition; it is read as sorted Arrow batches, and what
+    a task holds are a key's centroids, never its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, sums, lengths, n = None, np.zeros((0, 0)), np.zeros(0), 0
+        for b in batches:
+            out = []
+            for k, v in zip(b.column(key).to_pylist(), b.column("__vec").to_pylist(), strict=True):
+                v = np.asarray(v or [], dtype=float)
+                if name is None or k != name[0] or len(v) != sums.shape[1]:
+                    if name is None or k != name[0]:
+                        name, n = (k,), 0
+                        sums, lengths = np.zeros((16, len(v))), np.ones(16)
+                    else:
+                        width = max(len(v), sums.shape[1])
+                        sums, v = np.pad(sums, ((0, 0), (0, width - sums.shape[1]))), np.pad(v, (0, width - len(v)))
+                unit = v / max(float(np.linalg.norm(v)), 1e-8)
+                sims = sums[:n] @ unit / lengths[:n]
+                at = int(sims.argmax()) if n else -1
+                if at < 0 or sims[at] < threshold:
+                    if n == len(sums):
+                        sums, lengths = np.pad(sums, ((0, n), (0, 0))), np.pad(lengths, (0, n), constant_values=1)
+                    at, n = n, n + 1
+                sums[at] += unit
+                lengths[at] = max(float(np.linalg.norm(sums[at])), 1e-8)
+                out.append(at)
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column(id_col), pa.array(out, type=pa.int64())], [key, id_col, "cluster"])
 
     kinds = {c: df.schema[c].dataType.simpleString() for c in (key, id_col)}
-    return df.select(key, id_col, F.col(vec).alias("__vec")).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, cluster long")
-
-
+    rows = df.select(key, id_col, F.col(vec).alias("__vec")).repartition(key).sortWithinPartitions(key, id_col)
+    return rows.mapInArrow(run, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, cluster long")

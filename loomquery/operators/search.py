@@ -40,10 +40,10 @@ def image_search(assets: DataFrame, queries: DataFrame, q: SearchQuery, id_col:
     for name in ("dino", "clip"):
         got = topk.knn(queries.select("query_id", F.col(f"q_{name}").alias("query_vec")), pool.select(id_col, F.col(name).alias("v")), q.top_k, vec="v", id_col=id_col)
         layers.append(got.select("query_id", id_col, F.lit(name).alias("layer")))
-    bucket = F.broadcast(queries.select("query_id", F.substring("q_phash", 1, 2).alias("b")))  # a stated, bounded query set
+    bucket = queries.select("query_id", F.substring("q_phash", 1, 2).alias("b"))
     layers.append(pool.select(id_col, F.substring("phash", 1, 2).alias("b")).join(bucket, "b").where(F.col("query_id") != F.col(id_col)).select("query_id", id_col, F.lit("hash").alias("layer")))
     found = layers[0].unionByName(layers[1]).unionByName(layers[2]).groupBy("query_id", id_col).agg(F.array_join(F.array_sort(F.collect_set("layer")), ",").alias("layers"))
-    full = found.join(pool, id_col).join(F.broadcast(queries), "query_id")
+    full = found.join(pool, id_col).join(queries, "query_id")
     p, d, c = F.round(K.phash_similarity("phash", "q_phash"), 6), F.round(K.cosine("dino", "q_dino"), 6), F.round(K.cosine("clip", "q_clip"), 6)
     w = K.effective_weights(q.color)
     same = F.col("family") == F.col("q_family")

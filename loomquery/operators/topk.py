@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomquery.functions import kernels as K
+from loomquery.session import materialize
 
-#: Queries that may be broadcast against a pool; more are dealt over the pool in shuffled blocks.
-BROADCAST_QUERIES = 2000
-BLOCKS = 64
+#: Queries that go to the workers at once, and pool rows that are compared with them at once.
+QUERIES, ROWS = 2048, 4096
 
 
 def first_per_key(df: DataFrame, keys: list[str], *order: Column | str, k: int = 1, rank: str | None = None) -> DataFrame:
@@ -20,20 +24,141 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column | str, k: int =
     return got if rank else got.drop(name)
 
 
-def pair_up(queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """Every query row beside every pool row: a broadcast of few queries, else equal block numbers, dealt evenly."""
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        return pool.join(F.broadcast(queries.withColumn("__one", F.lit(1))), F.lit(1) == F.col("__one")).drop("__one")
-    dealt = pool.withColumn("__block", F.pmod(F.xxhash64(*pool.columns), F.lit(BLOCKS)))
-    spread = queries.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
-    return dealt.join(spread, "__block").drop("__block")
+def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix of unit rows, their lengths) of a column of vectors; a missing vector, or one with a missing component,
+    has length -1 and zeros, and one of vanishing norm is zeros."""
+    lens = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lens)), lens)
+    out = np.zeros((len(lens), int(lens.max(initial=0))))
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)] = flat
+    bad = ~np.isfinite(out).all(axis=1) | ~np.asarray(column.is_valid())
+    out[bad] = 0
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0), np.where(bad, -1, lens)
+
+
+def _cosines(p: tuple, q: tuple) -> np.ndarray:
+    """(pool rows, queries) cosines clipped at 0 and rounded to six digits; 0 between vectors of unequal lengths."""
+    width = max(p[0].shape[1], q[0].shape[1])
+    a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (p[0], q[0]))
+    same = (p[1][:, None] == q[1][None, :]) & (p[1][:, None] >= 0)
+    return np.round(np.where(same, np.maximum(a @ b.T, 0.0), 0.0), 6)
+
+
+def _bits(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes as unsigned longs, whether there is one)."""
+    ok = np.asarray(column.is_valid())
+    return pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), ok
+
+
+def _likeness(p: tuple, q: tuple) -> np.ndarray:
+    """(pool rows, queries) 1 - differing bits / 64; 0 where a hash is missing."""
+    bits = np.bitwise_count(p[0][:, None] ^ q[0][None, :])
+    return np.where(p[1][:, None] & q[1][None, :], 1.0 - bits / 64.0, 0.0)
+
+
+#: What a measure reads of a column, and how it compares two blocks.
+MEASURES = {"cosine": (_unit, _cosines), "hash": (_bits, _likeness)}
+
+
+def compared(queries: DataFrame, pool: DataFrame, q_id: str, id_col: str, columns: dict[str, tuple[str, str]], score, k: int | None = None, floor: float | None = None, measure: str = "cosine", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(q_id, carried columns of the queries, id_col, carried columns of the pool, the columns' measures, score) of pool
+    rows other than the query's own: the k best of each query by score, ties to smaller ids, and not under `floor`.
+
+    columns maps a name to a query column and a pool column; score is a function of the dictionary of their measures
+    (arrays of pool rows by queries) and must round what it returns. Pool rows are compared in blocks by one matrix
+    product each, and a task keeps its best k of every query, so no pair becomes a row unless it may be in the result.
+    Queries are taken to the workers in blocks of bounded size, each running against the whole pool. carry names
+    columns of either side; a query's must differ in name from the pool's.
+    """
+    read, compare = MEASURES[measure]
+    q_carry, p_carry = [c for c in carry if c in queries.columns], [c for c in carry if c not in queries.columns]
+    queries = materialize(queries.select(q_id, *q_carry, *dict.fromkeys(a for a, _ in columns.values())).where(F.col(q_id).isNotNull()), "compared-queries")
+    n_blocks = max(1, -(-queries.count() // QUERIES))
+    pool = pool.select(id_col, *p_carry, *dict.fromkeys(b for _, b in columns.values()))
+    kinds = [*(f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in (q_id, *q_carry)), *(f"`{c}` {pool.schema[c].dataType.simpleString()}" for c in (id_col, *p_carry)), *(f"`{c}` double" for c in columns), "score double"]
+    names = [q_id, *q_carry, id_col, *p_carry, *columns, "score"]
+
+    def run_with(block: pa.Table):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = {n: read(block.column(a).combine_chunks()) for n, (a, _) in columns.items()}
+            own, n_q = block.column(q_id).to_numpy(), block.num_rows
+            held: pa.Table | None = None
+
+            def found(t: pa.Table):
+                ids = t.column(id_col).to_numpy()
+                parts = {n: compare(read(t.column(b).combine_chunks()), asked[n]) for n, (_, b) in columns.items()}
+                s = score(parts)
+                ok = ids[:, None] != own[None, :]
+                if floor is not None:
+                    ok &= s >= floor
+                row, q = np.nonzero(ok)
+                value = s[row, q]
+                if k is not None and len(q):
+                    order = np.lexsort((ids[row], -value, q))
+                    row, q, value = row[order], q[order], value[order]
+                    keep = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
+                    row, q, value = row[keep], q[keep], value[keep]
+                at, qa = pa.array(row), pa.array(q)
+                cols = [block.column(c).take(qa) for c in (q_id, *q_carry)] + [t.column(c).take(at) for c in (id_col, *p_carry)]
+                return pa.table([*cols, *(pa.array(parts[n][row, q]) for n in columns), pa.array(value)], names=names)
+
+            def shrink(t: pa.Table) -> pa.Table:
+                q, value, ids = np.searchsorted(own, t.column(q_id).to_numpy()), t.column("score").to_numpy(), t.column(id_col).to_numpy()
+                order = np.lexsort((ids, -value, q))
+                keep = np.arange(len(order)) - np.searchsorted(q[order], q[order], side="left") < k
+                return t.take(pa.array(order[keep]))
+
+            if not n_q:
+                return
+            for t in _stacked(batches, ROWS):
+                t = t.filter(t.column(id_col).is_valid())
+                got = found(t)
+                if k is None:
+                    yield from got.combine_chunks().to_batches(max_chunksize=20_000)
+                else:
+                    held = got if held is None else pa.concat_tables([held, got])
+                    held = shrink(held) if held.num_rows > 2 * k * n_q else held
+            if held is not None and held.num_rows:
+                yield from shrink(held).combine_chunks().to_batches(max_chunksize=20_000)
+
+        return run
+
+    out = None
+    for n in range(n_blocks):
+        block = queries.where(F.pmod(F.xxhash64(q_id), F.lit(n_blocks)) == n).orderBy(q_id).toArrow()
+        got = pool.mapInArrow(run_with(block), ", ".join(kinds))
+        got = got if n_blocks == 1 else materialize(got, "compared")
+        out = got if out is None else out.unionByName(got)
+    return out if k is None else first_per_key(out, [q_id], F.desc("score"), F.col(id_col), k=k, rank="rank")
+
+
+def _stacked(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches joined into, and cut down to, tables of about `rows` rows."""
+    held, n = [], 0
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            held.append(b.slice(lo, rows))
+            n += held[-1].num_rows
+            if n >= rows:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
 
 
 def knn(queries: DataFrame, pool: DataFrame, k: int, q_id: str = "query_id", q_vec: str = "query_vec", id_col: str = "vec_id", vec: str = "embedding", floor: float = 0.0) -> DataFrame:
     """(query_id, id, sim, rank): each query's k most similar rows but itself, at least `floor`; ties to smaller ids."""
-    pairs = pair_up(queries, pool.select(id_col, vec)).where(F.col(q_id) != F.col(id_col))
-    scored = pairs.select(q_id, id_col, F.round(K.cosine(q_vec, vec), 6).alias("sim")).where(F.col("sim") >= floor)
-    return first_per_key(scored, [q_id], F.desc("sim"), F.col(id_col), k=k, rank="rank")
+    got = compared(queries, pool, q_id, id_col, {"sim": (q_vec, vec)}, lambda m: m["sim"], k=k, floor=floor)
+    return got.select(q_id, id_col, "sim", "rank")
+
+
+def best_of_few(rows: DataFrame, few: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every row beside every row of a side of few rows (labels, centres), which is counted first: more than `most` is an error."""
+    if few.limit(most + 1).count() > most:
+        raise ValueError(f"the small side has more than {most} rows")
+    return rows.join(F.broadcast(few.withColumn("__one", F.lit(1))), F.lit(1) == F.col("__one")).drop("__one")
 
 
 def with_margin(df: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
@@ -55,6 +180,41 @@ def adaptive_k(k: int, total: int, step: int = 800) -> int | None:
     return None if k >= total else min(total, max(2 * k, k + step))
 
 
-def should_stop(new_ids: int, median: float, tail: float, ratio: float = 0.72) -> bool:
-    """An expansion stops when it brings nothing new, or its median falls under `ratio` of the tail before."""
-    return new_ids == 0 or median < ratio * tail
+def should_stop(new_ids: int, median: float | None, tail: float | None, relevant: int, best: float, floor: float, ratio: float = 0.72) -> str:
+    """Why an expansion ends: nothing new, a median under `ratio` of the tail before, or fewer than three relevant rows
+    none of which reaches max(.55, floor); empty while it goes on."""
+    if new_ids <= 0:
+        return "no_new_ids"
+    if tail and median is not None and median < ratio * tail:
+        return "similarity_drop"
+    return "low_yield" if relevant < 3 and best < max(0.55, floor) else ""
+
+
+def expanding(queries: DataFrame, pool: DataFrame, k: int, floor: float, q_id: str = "query_id", q_vec: str = "query_vec", id_col: str = "vec_id", vec: str = "embedding", most: int = 1 << 20) -> DataFrame:
+    """(query_id, id, sim, rank, round, why): neighbours by a search that widens, k, then max(2k, k + 800), and so on, for
+    the queries whose last step was worth it; `why` says what ended a query's search. Only one row a query comes to the
+    driver's decision, as an aggregate that stays a frame."""
+    total, size, done = pool.count(), k, 0
+    active, out, step = queries.select(q_id, q_vec), None, 0
+    tail = None
+    while True:
+        size = min(size, total, most)
+        step += 1
+        new = materialize(knn(active, pool, size, q_id, q_vec, id_col, vec).where(F.col("rank") > done), "expansion")
+        seen = new.withColumn("round", F.lit(step))
+        out = seen if out is None else out.unionByName(seen)
+        per = new.groupBy(q_id).agg(F.count(F.lit(1)).alias("n"), F.percentile("sim", F.lit(0.5)).alias("median"), F.min("sim").alias("last"), F.sum((F.col("sim") >= floor).cast("int")).alias("relevant"), F.max("sim").alias("best"))
+        per = active.select(q_id).join(per, q_id, "left").fillna(0, ["n", "relevant"])
+        per = per.join(tail, q_id, "left") if tail is not None else per.withColumn("tail", F.lit(None).cast("double"))
+        why = (
+            F.when(F.col("n") == 0, "no_new_ids").when((F.col("tail") > 0) & (F.col("median") < 0.72 * F.col("tail")), "similarity_drop")
+            .when((F.col("relevant") < 3) & (F.coalesce("best", F.lit(0.0)) < max(0.55, floor)), "low_yield").when(F.lit(size >= min(total, most)), "whole_pool")
+        )
+        state = materialize(per.select(q_id, why.alias("why"), F.col("last").alias("tail")), "expansion-state")
+        ended = state.where("why is not null").select(q_id, "why")
+        stops = ended if step == 1 else stops.unionByName(ended)
+        active = materialize(active.join(state.where("why is null").select(q_id), q_id, "left_semi"), "expansion-queries")
+        tail = state.where("why is null").select(q_id, "tail")
+        done, size = size, adaptive_k(size, total) or size
+        if not active.take(1):
+            return out.join(stops, q_id, "left").select(q_id, id_col, "sim", "rank", "round", "why")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomquery.functions import kernels as K
@@ -9,18 +10,19 @@ from loomquery.operators import topk
 from loomquery.plans.registry import register
 from loomquery.session import table
 
-#: Own anchors of the calibration from raw to shown similarity.
-ANCHORS = [(0.0, 0.0), (0.1, 0.2), (0.2, 0.45), (0.3, 0.7), (0.4, 0.85), (0.6, 0.93)]
+#: Anchors of the calibration from the cosine of a text and a picture to shown relevance.
+ANCHORS = [(0.00, 0.00), (0.16, 0.10), (0.20, 0.22), (0.24, 0.36), (0.28, 0.48), (0.32, 0.60), (0.36, 0.70), (0.40, 0.78), (0.46, 0.86), (0.55, 0.90), (1.00, 0.93)]
 
 _SIM = "round(greatest(0, list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[])), 6)"
 _BASE = f"b AS (SELECT q.vec_id AS query_id, p.vec_id, p.label, q.label AS qlabel, {_SIM} AS sim FROM embeddings q JOIN embeddings p ON q.vec_id % 20 = 0 AND q.vec_id <> p.vec_id)"
 
 
-def _base(spark, sf):
+def _base(spark, sf, k=None, floor=None):
+    """Pairs of a query and another row with their similarity: the k best, or those at the floor or over it."""
     e = table(spark, sf, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").alias("qlabel"))
-    pairs = topk.pair_up(q, e).where("query_id <> vec_id")
-    return pairs.select("query_id", "vec_id", "label", "qlabel", F.round(K.cosine("query_vec", "embedding"), 6).alias("sim"))
+    got = topk.compared(q, e, "query_id", "vec_id", {"sim": ("query_vec", "embedding")}, lambda m: m["sim"], k=k, floor=floor, carry=("qlabel", "label"))
+    return got.drop("score")
 
 
 def _piecewise_sql(x: str) -> str:
@@ -31,7 +33,7 @@ def _piecewise_sql(x: str) -> str:
 
 @register("piecewise_calibration", f"WITH {_BASE} SELECT query_id, vec_id, {_piecewise_sql('sim')} AS shown FROM b WHERE sim >= 0.15")
 def piecewise_calibration(spark, sf):
-    return _base(spark, sf).where("sim >= 0.15").select("query_id", "vec_id", K.piecewise(F.col("sim"), ANCHORS, 9).alias("shown"))
+    return _base(spark, sf, floor=0.15).select("query_id", "vec_id", K.piecewise(F.col("sim"), ANCHORS, 9).alias("shown"))
 
 
 _FAMILY = "CASE WHEN label = qlabel THEN 'same' WHEN abs(label - qlabel) = 1 THEN 'related' ELSE 'unrelated' END"
@@ -41,21 +43,21 @@ _FAMILY = "CASE WHEN label = qlabel THEN 'same' WHEN abs(label - qlabel) = 1 THE
 def family_gate(spark, sf):
     """Scores capped by the family relation between a row and the query."""
     d = F.abs(F.col("label") - F.col("qlabel"))
-    b = _base(spark, sf).where("sim >= 0.1").withColumn("relation", F.when(d == 0, "same").when(d == 1, "related").otherwise("unrelated"))
+    b = _base(spark, sf, floor=0.1).withColumn("relation", F.when(d == 0, "same").when(d == 1, "related").otherwise("unrelated"))
     return b.select("query_id", "vec_id", "relation", F.round(F.least(F.col("sim") * 3, K.family_cap(F.col("relation"), F.col("sim") >= 0.25)), 6).alias("score"))
 
 
 @register("display_filter", f"WITH {_BASE} SELECT query_id, vec_id, CASE WHEN sim >= 0.3 THEN 'exact' WHEN label = qlabel THEN 'variant' WHEN sim >= 0.2 THEN 'related' ELSE 'far' END AS cluster FROM b WHERE sim * 4 >= 0.4 AND (sim >= 0.2 OR label = qlabel)")
 def display_filter(spark, sf):
     """Rows that are shown: over the floor, far clusters hidden unless of the same family."""
-    b = _base(spark, sf).where((F.col("sim") * 4 >= 0.4) & ((F.col("sim") >= 0.2) | (F.col("label") == F.col("qlabel"))))
+    b = _base(spark, sf, floor=0.1).where((F.col("sim") * 4 >= 0.4) & ((F.col("sim") >= 0.2) | (F.col("label") == F.col("qlabel"))))
     cluster = F.when(F.col("sim") >= 0.3, "exact").when(F.col("label") == F.col("qlabel"), "variant").when(F.col("sim") >= 0.2, "related").otherwise("far")
     return b.select("query_id", "vec_id", cluster.alias("cluster"))
 
 
 @register("unified_relevance", f"WITH {_BASE} SELECT query_id, vec_id, round(greatest(0, least(1, 0.72 * sim + 0.18 * (sim * 2) + 0.10 * (label = qlabel)::INT)), 10)::DOUBLE AS score FROM b WHERE sim >= 0.1")
 def unified_relevance(spark, sf):
-    b = _base(spark, sf).where("sim >= 0.1")
+    b = _base(spark, sf, floor=0.1)
     semantic = (F.col("label") == F.col("qlabel")).cast("double")
     return b.select("query_id", "vec_id", F.round(K.unified_image(F.col("sim"), F.col("sim") * 2, semantic), 10).alias("score"))
 
@@ -64,7 +66,7 @@ def unified_relevance(spark, sf):
 SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY (n > 30)::INT, score DESC, vec_id)::INT AS rank FROM s""")
 def rerank_topk(spark, sf):
     """The first 30 of each list scored again, the rest behind them in their order."""
-    r = topk.first_per_key(_base(spark, sf), ["query_id"], F.desc("sim"), "vec_id", k=100, rank="n")
+    r = _base(spark, sf, k=100).withColumnRenamed("rank", "n")
     again = F.round(0.55 * (0.7 * F.col("sim") + 0.3 * (F.col("label") == F.col("qlabel")).cast("int")) + 0.45 * F.col("sim"), 10)
     s = r.withColumn("score", F.when(F.col("n") <= 30, again).otherwise(F.col("sim"))).withColumn("tail", (F.col("n") > 30).cast("int"))
     return topk.first_per_key(s, ["query_id"], "tail", F.desc("score"), "vec_id", k=100, rank="rank").select("query_id", "vec_id", "score", "rank")
@@ -73,8 +75,9 @@ def rerank_topk(spark, sf):
 @register("autonomous_lanes", f"WITH {_BASE}, l AS (SELECT vec_id, sum(CASE WHEN sim >= 0.25 THEN 1 ELSE 0 END) AS strong, max(sim) AS best FROM b GROUP BY vec_id) SELECT vec_id, CASE WHEN strong = 1 THEN 'high' WHEN strong >= 2 THEN 'undecided' WHEN best >= 0.2 THEN 'low' ELSE 'none' END AS lane FROM l")
 def autonomous_lanes(spark, sf):
     """Lane of a row by how many concepts it matches strongly."""
-    l = _base(spark, sf).groupBy("vec_id").agg(F.sum((F.col("sim") >= 0.25).cast("int")).alias("strong"), F.max("sim").alias("best"))  # noqa: E741
-    return l.select("vec_id", F.when(F.col("strong") == 1, "high").when(F.col("strong") >= 2, "undecided").when(F.col("best") >= 0.2, "low").otherwise("none").alias("lane"))
+    l = _base(spark, sf, floor=0.2).groupBy("vec_id").agg(F.sum((F.col("sim") >= 0.25).cast("int")).alias("strong"))  # noqa: E741
+    every = table(spark, sf, "embeddings").select("vec_id").join(l, "vec_id", "left")
+    return every.select("vec_id", F.when(F.col("strong") == 1, "high").when(F.col("strong") >= 2, "undecided").when(F.col("strong") == 0, "low").otherwise("none").alias("lane"))
 
 
 @register("composite_coverage", """WITH c AS (SELECT l_orderkey, count(DISTINCT l_returnflag) AS found, min(cnt) AS lo, max(cnt) AS hi FROM (SELECT l_orderkey, l_returnflag, count(*) AS cnt FROM lineitem GROUP BY ALL) GROUP BY l_orderkey)
@@ -115,40 +118,47 @@ def confidence_level(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", level.alias("level"))
 
 
-_H = "md5(text)"
-
-
 def _hash_sql(a: str, b: str) -> str:
     half = lambda c, i: f"('0x' || substr({c}, {i}, 8))::BIGINT"
     return f"(bit_count(xor({half(a, 1)}, {half(b, 1)})) + bit_count(xor({half(a, 9)}, {half(b, 9)})))"
 
 
+def _digest(suffix=""):
+    """The first 64 bits of a text's MD5 as a long, worked out once a row."""
+    h = F.md5(F.concat("text", F.lit(suffix)).cast("binary"))
+    return F.shiftleft(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), 32).bitwiseOR(F.conv(F.substring(h, 9, 8), 16, 10).cast("long"))
+
+
 @register("hamming_protected", f"WITH h AS (SELECT doc_id, substr(md5(text), 1, 16) AS h FROM documents), q AS (SELECT doc_id AS qid, h AS qh FROM h WHERE doc_id % 20 = 0) SELECT qid, doc_id, {_hash_sql('h', 'qh')}::INT AS bits FROM h JOIN q ON doc_id <> qid AND {_hash_sql('h', 'qh')} <= 20")
 def hamming_protected(spark, sf):
     """Rows whose 64-bit hash lies within 20 bits of one of the stated queries."""
-    h = table(spark, sf, "documents").select("doc_id", F.substring(F.md5(F.col("text").cast("binary")), 1, 16).alias("h"))
+    h = table(spark, sf, "documents").select("doc_id", _digest().alias("h"))
     q = h.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.col("h").alias("qh"))
-    return topk.pair_up(q, h).where("doc_id <> qid").withColumn("bits", K.hamming_hex("h", "qh")).where("bits <= 20").select("qid", "doc_id", "bits")
+    got = topk.compared(q, h, "qid", "doc_id", {"like": ("qh", "h")}, lambda m: m["like"], floor=1 - 20 / 64, measure="hash")
+    return got.select("qid", "doc_id", F.round((1 - F.col("like")) * 64).cast("int").alias("bits"))
 
 
 @register("hash_score_ladder", f"""WITH h AS (SELECT doc_id, substr(md5(text), 1, 16) AS p, substr(md5(text || 'd'), 1, 16) AS d, substr(md5(text || 'w'), 1, 16) AS w, n_chars FROM documents), q AS (SELECT * FROM h WHERE doc_id % 20 = 0),
-s AS (SELECT q.doc_id AS qid, h.doc_id, greatest(0, 1 - {_hash_sql('h.p', 'q.p')} / 64) AS p, greatest(0, 1 - {_hash_sql('h.d', 'q.d')} / 64) AS d, greatest(0, 1 - {_hash_sql('h.w', 'q.w')} / 64) AS w FROM h JOIN q ON h.doc_id <> q.doc_id)
-SELECT qid, doc_id, round(0.40 * p + 0.25 * d + 0.15 * w + 0.20 * greatest(p, d, w), 10)::DOUBLE AS tier_a, round(CASE WHEN p >= 0.98 THEN greatest(0.98, 0.40 * p + 0.25 * d + 0.15 * w + 0.05 + 0.05) ELSE 0.40 * p + 0.25 * d + 0.15 * w + 0.05 + 0.05 END, 10)::DOUBLE AS classical,
- round(CASE WHEN p >= 0.92 AND d >= 0.94 THEN 0.99 WHEN p >= 0.95 AND d >= 0.90 THEN 0.95 WHEN d >= 0.98 AND w >= 0.90 AND p >= 0.88 THEN 0.95 WHEN p >= 0.88 AND d >= 0.88 AND w >= 0.88 THEN 0.88 ELSE 0 END, 10)::DOUBLE AS floor FROM s""")
+s AS (SELECT q.doc_id AS qid, h.doc_id, greatest(0, 1 - {_hash_sql('h.p', 'q.p')} / 64) AS p, greatest(0, 1 - {_hash_sql('h.d', 'q.d')} / 64) AS d, greatest(0, 1 - {_hash_sql('h.w', 'q.w')} / 64) AS w FROM h JOIN q ON h.doc_id <> q.doc_id),
+t AS (SELECT qid, doc_id, round(0.40 * p + 0.25 * d + 0.15 * w + 0.20 * greatest(p, d, w), 10)::DOUBLE AS tier_a, round(CASE WHEN p >= 0.98 THEN greatest(0.98, 0.40 * p + 0.25 * d + 0.15 * w + 0.05 + 0.05) ELSE 0.40 * p + 0.25 * d + 0.15 * w + 0.05 + 0.05 END, 10)::DOUBLE AS classical,
+ round(CASE WHEN p >= 0.92 AND d >= 0.94 THEN 0.99 WHEN p >= 0.95 AND d >= 0.90 THEN 0.95 WHEN d >= 0.98 AND w >= 0.90 AND p >= 0.88 THEN 0.95 WHEN p >= 0.88 AND d >= 0.88 AND w >= 0.88 THEN 0.88 ELSE 0 END, 10)::DOUBLE AS floor FROM s)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY tier_a DESC, doc_id)::INT AS rank FROM t) WHERE rank <= 20""")
 def hash_score_ladder(spark, sf):
-    """Three hash similarities blended, the classical score, and the floor of protected rows."""
-    dig = lambda s: F.substring(F.md5(F.concat("text", F.lit(s)).cast("binary")), 1, 16)
-    h = table(spark, sf, "documents").select("doc_id", dig("").alias("p"), dig("d").alias("d"), dig("w").alias("w"))
-    q = h.where("doc_id % 20 = 0").select(*[F.col(c).alias(f"q_{c}") for c in h.columns])
-    x = topk.pair_up(q, h).where("doc_id <> q_doc_id").select(F.col("q_doc_id").alias("qid"), "doc_id", *[K.phash_similarity(c, f"q_{c}").alias(c) for c in "pdw"])
+    """The 20 best rows by three blended hash similarities, with the classical score and the floor of protected rows."""
+    import numpy as np
+
+    h = table(spark, sf, "documents").select("doc_id", _digest().alias("p"), _digest("d").alias("d"), _digest("w").alias("w"))
+    q = h.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), *[F.col(c).alias(f"q_{c}") for c in "pdw"])
+    blend = lambda m: np.round(0.40 * m["p"] + 0.25 * m["d"] + 0.15 * m["w"] + 0.20 * np.maximum(np.maximum(m["p"], m["d"]), m["w"]), 10)
+    x = topk.compared(q, h, "qid", "doc_id", {c: (f"q_{c}", c) for c in "pdw"}, blend, k=20, measure="hash")
     p, d, w = map(F.col, "pdw")
     half = F.lit(0.5)
-    return x.select("qid", "doc_id", F.round(K.tier_a(p, d, w), 10).alias("tier_a"), F.round(K.classical(p, d, w, half, half), 10).alias("classical"), F.round(K.protected_floor(p, d, w, F.lit(True), F.lit(False)), 10).alias("floor"))
+    return x.select("qid", "doc_id", F.col("score").alias("tier_a"), F.round(K.classical(p, d, w, half, half), 10).alias("classical"), F.round(K.protected_floor(p, d, w, F.lit(True), F.lit(False)), 10).alias("floor"), "rank")
 
 
 @register("hybrid_text_boost", f"WITH {_BASE} SELECT query_id, vec_id, round(least(1, 0.65 * sim + 0.15 * (label = qlabel)::INT + 0.10 * (vec_id % 3 = 0)::INT + 0.05 * (vec_id % 5 = 0)::INT + 0.05 * (label = qlabel)::INT), 10)::DOUBLE AS score FROM b WHERE sim >= 0.1")
 def hybrid_text_boost(spark, sf):
-    b = _base(spark, sf).where("sim >= 0.1")
+    b = _base(spark, sf, floor=0.1)
     one = lambda c: c.cast("double")
     same = one(F.col("label") == F.col("qlabel"))
     return b.select("query_id", "vec_id", F.round(K.hybrid_text(F.col("sim"), same, one(F.col("vec_id") % 3 == 0), one(F.col("vec_id") % 5 == 0), same), 10).alias("score"))
@@ -174,6 +184,7 @@ def consistency_score(spark, sf):
 @register("rival_demotion", f"WITH {_BASE}, s AS (SELECT query_id, label, max(sim) AS best FROM b GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, label) AS n FROM s) SELECT query_id, label, round(CASE WHEN n = 1 THEN best ELSE greatest(0, best - 0.08) END, 6)::DOUBLE AS score FROM r")
 def rival_demotion(spark, sf):
     """Sibling leaves behind the best one lose .08."""
-    s = _base(spark, sf).groupBy("query_id", "label").agg(F.max("sim").alias("best"))
-    r = topk.first_per_key(s, ["query_id"], F.desc("best"), "label", k=1_000, rank="n")
-    return r.select("query_id", "label", F.round(F.when(F.col("n") == 1, F.col("best")).otherwise(F.greatest(F.lit(0.0), F.col("best") - 0.08)), 6).alias("score"))
+    s = _base(spark, sf, floor=0.0).groupBy("query_id", "label").agg(F.max("sim").alias("best"))
+    n = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("best"), "label"))
+    score = F.when(F.col("n") == 1, F.col("best")).otherwise(F.greatest(F.lit(0.0), F.col("best") - 0.08))
+    return s.withColumn("n", n).select("query_id", "label", F.round(score, 6).alias("score"))

@@ -81,6 +81,6 @@ def identity_merge(spark, sf):
     e = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("d", "x")).groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
     c = e.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("v"))
     other = c.select(F.col("label").alias("other"), F.col("v").alias("w"))
-    pairs = topk.pair_up(other, c).where((F.col("label") < F.col("other")) & (K.cosine("v", "w") >= 0.1))
+    pairs = topk.best_of_few(other, c).where((F.col("label") < F.col("other")) & (K.cosine("v", "w") >= 0.1))
     comp = connected_components(pairs.select(F.col("other").alias("u"), F.col("label").alias("v"))).withColumnRenamed("node", "label")
     return c.select("label").join(comp, "label", "left").select("label", F.coalesce("root", "label").alias("person"))

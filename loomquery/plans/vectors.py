@@ -41,6 +41,13 @@ def knn_floor_expand(spark, sf):
     return r.groupBy("query_id", band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("sim") >= 0.2).cast("long")).alias("above"), F.round(F.percentile("sim", F.lit(0.5)), 8).alias("median"))
 
 
+@register("expanding_search")
+def expanding_search(spark, sf):
+    """A search that widens only for the queries whose last step was worth it, and says why each of them ended."""
+    pool = table(spark, sf, "embeddings")
+    return topk.expanding(_queries(pool), pool, 20, 0.25)
+
+
 @register("vector_boost_fusion", """WITH p AS (SELECT q.vec_id AS query_id, p.vec_id,
  round(greatest(0, list_cosine_similarity(q.embedding[1:32]::DOUBLE[], p.embedding[1:32]::DOUBLE[])), 6) AS d, round(greatest(0, list_cosine_similarity(q.embedding[33:64]::DOUBLE[], p.embedding[33:64]::DOUBLE[])), 6) AS c
  FROM embeddings q JOIN embeddings p ON q.vec_id % 20 = 0 AND q.vec_id <> p.vec_id),
@@ -63,16 +70,16 @@ def vector_normalize_audit(spark, sf):
     return e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.size("embedding") == 64).cast("long")).alias("right_size"), F.sum((F.abs(K.norm("embedding") - 1) < 0.001).cast("long")).alias("unit"))
 
 
-@register("hist_correlation", """WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE - list_avg(embedding::DOUBLE[])) AS v FROM embeddings)
-SELECT a.vec_id AS query_id, b.vec_id, round(greatest(0, list_cosine_similarity(a.v, b.v)), 6) AS corr FROM c a JOIN c b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id""")
+@register("hist_correlation", """WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE - list_avg(embedding::DOUBLE[])) AS v FROM embeddings),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, round(greatest(0, list_cosine_similarity(a.v, b.v)), 6) AS corr FROM c a JOIN c b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY corr DESC, vec_id)::INT AS rank FROM p) WHERE rank <= 25""")
 def hist_correlation(spark, sf):
-    # centred once a row, not once a pair
+    """The 25 rows whose histograms correlate best with the query's, centred once a row."""
     pool = table(spark, sf, "embeddings").select("vec_id", K.centred("embedding").alias("embedding"))
-    pairs = topk.pair_up(_queries(pool), pool).where("query_id <> vec_id")
-    return pairs.select("query_id", "vec_id", F.round(K.cosine("query_vec", "embedding"), 6).alias("corr"))
+    return topk.knn(_queries(pool), pool, 25).withColumnRenamed("sim", "corr")
 
 
-#: Prototypes of plain colours.
+#: Own prototypes of plain colours.
 PROTOTYPES = [("black", 0, 0, 0), ("white", 255, 255, 255), ("red", 200, 30, 40), ("green", 40, 140, 60), ("blue", 40, 70, 170), ("beige", 210, 180, 140), ("cream", 244, 235, 210), ("grey", 128, 128, 128)]
 _RGB = "list_transform(embedding[1:3], lambda x: greatest(0, least(255, floor((x::DOUBLE + 0.5) * 255))))"
 
@@ -106,7 +113,7 @@ def _centres(pool):
 r AS (SELECT *, row_number() OVER w AS n, lead(sim) OVER w AS runner_up FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY sim DESC, label)) SELECT vec_id, label, sim, runner_up, round(sim - coalesce(runner_up, 0), 6) AS margin FROM r WHERE n = 1""")
 def margin_top2(spark, sf):
     pool = table(spark, sf, "embeddings")
-    pairs = topk.pair_up(_queries(pool), _centres(pool))
+    pairs = topk.best_of_few(_queries(pool), _centres(pool))
     s = pairs.select(F.col("query_id").alias("vec_id"), "label", F.round(K.cosine("query_vec", "v"), 6).alias("sim"))
     return topk.with_margin(s, ["vec_id"], "sim", "label")
 
@@ -117,7 +124,7 @@ SELECT query_id, label, best, best >= 0.25 AS accepted FROM bb""")
 def two_stage_identity(spark, sf):
     """Identities whose centroid passes a gate, then their best exemplar; accepted at a threshold."""
     pool = table(spark, sf, "embeddings")
-    gate = topk.pair_up(_queries(pool), _centres(pool)).where(K.cosine("query_vec", "v") >= 0.05).select("query_id", "query_vec", "label")
+    gate = topk.best_of_few(_queries(pool), _centres(pool)).where(K.cosine("query_vec", "v") >= 0.05).select("query_id", "query_vec", "label")
     best = pool.where("vec_id % 20 <> 0").join(gate, "label").groupBy("query_id", "label").agg(F.round(F.max(K.cosine("query_vec", "embedding")), 6).alias("best"))
     return best.withColumn("accepted", F.col("best") >= 0.25)
 
@@ -129,9 +136,15 @@ def concept_neighbours(spark, sf):
     """Neighbours of a concept's positive examples, less a penalty near its negative ones."""
     pool = table(spark, sf, "embeddings")
     rest = pool.where("vec_id % 20 <> 0")
-    best = lambda cond, name: topk.pair_up(pool.where(cond).select(F.col("embedding").alias("example")), rest).groupBy("vec_id").agg(F.round(F.max(K.cosine("embedding", "example")), 6).alias(name))
-    got = best("vec_id % 40 = 0", "sim").join(best("vec_id % 40 = 20", "neg"), "vec_id").where("sim >= 0.2")
-    return got.select("vec_id", F.round(F.col("sim") - F.when(F.col("neg") >= 0.2, 0.18 * F.col("neg")).otherwise(0.0), 9).alias("score"))
+
+    def best(cond, name):
+        # a neighbour or a penalty counts from .2 on, so nothing under that has to leave the workers
+        examples = pool.where(cond).select(F.col("vec_id").alias("example"), F.col("embedding").alias("example_vec"))
+        near = topk.compared(examples, rest, "example", "vec_id", {"sim": ("example_vec", "embedding")}, lambda m: m["sim"], floor=0.2)
+        return near.groupBy("vec_id").agg(F.max("sim").alias(name))
+
+    got = best("vec_id % 40 = 0", "sim").join(best("vec_id % 40 = 20", "neg"), "vec_id", "left")
+    return got.select("vec_id", F.round(F.col("sim") - 0.18 * F.coalesce("neg", F.lit(0.0)), 9).alias("score"))
 
 
 @register("cluster_split_gain", """WITH e AS (SELECT vec_id, label, vec_id % 2 AS part, embedding::DOUBLE[] AS v FROM embeddings),
@@ -155,9 +168,8 @@ def cluster_split_gain(spark, sf):
 
 @register("greedy_clusters")
 def greedy_clusters(spark, sf):
-    """Order-dependent leader clustering within review batches of 256 rows."""
-    e = table(spark, sf, "embeddings").withColumn("batch", F.floor(F.col("vec_id") / 256))
-    return relations.leader_clusters(e, "batch", "vec_id", "embedding", 0.25)
+    """Order-dependent leader clustering of each customer's (label's) rows, all of them in id order."""
+    return relations.leader_clusters(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", 0.25)
 
 
 @register("fine_detail_rerank", """WITH p AS (SELECT q.vec_id AS query_id, p.vec_id, round((list_cosine_similarity(q.embedding[1:12]::DOUBLE[], p.embedding[1:12]::DOUBLE[]) + 1) / 2, 6) AS fine,
@@ -167,7 +179,7 @@ def fine_detail_rerank(spark, sf):
     """The 80 best rows, moved by the likeness of a 12-component signature."""
     pool = table(spark, sf, "embeddings")
     top = topk.knn(_queries(pool), pool, 80).withColumnRenamed("sim", "base")
-    got = top.join(pool.select("vec_id", "embedding"), "vec_id").join(F.broadcast(_queries(pool)), "query_id")
+    got = top.join(pool.select("vec_id", "embedding"), "vec_id").join(_queries(pool), "query_id")
     fine = F.round(K.fine_detail(F.slice("query_vec", 1, 12), F.slice("embedding", 1, 12)), 6)
     return got.select("query_id", "vec_id", "base", fine.alias("fine"), F.round(F.col("base") + 0.12 * fine, 9).alias("score"))
 
@@ -190,4 +202,4 @@ def pair_triplet_mining(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "label", F.md5(F.col("vec_id").cast("string").cast("binary")).alias("h"))
     a = e.withColumn("positive", F.lead("vec_id").over(W.partitionBy("label").orderBy("h", "vec_id")))
     n = e.groupBy(F.col("label").alias("other")).agg(F.min_by("vec_id", "h").alias("negative"))
-    return a.join(F.broadcast(n), (F.col("label") + 1) % 10 == F.col("other")).where("positive is not null").select(F.col("vec_id").alias("anchor"), "positive", "negative")
+    return a.join(n, (F.col("label") + 1) % 10 == F.col("other")).where("positive is not null").select(F.col("vec_id").alias("anchor"), "positive", "negative")
