@@ -41,6 +41,19 @@ def mean_available(*parts: Column) -> Column:
     return F.when(n > 0, reduce(lambda x, y: x + y, [F.coalesce(p, F.lit(0.0)) for p in parts]) / n).otherwise(F.lit(0.0))
 
 
+def combined_hash(*pairs: tuple[Column, Column]) -> Column:
+    """Mean hash similarity over the kinds of hash that both sides have; 0 where they share none."""
+    return mean_available(*[F.when(a.isNotNull() & b.isNotNull(), phash_similarity(a, b)) for a, b in pairs])
+
+
+def tier_b(texture: Column | None = None, color: Column | None = None, visual: tuple[Column, Column, Column] | None = None) -> Column:
+    """Mean of the enabled parts: .4 texture, .3 colour, and .15 of either vector with the boost of the index."""
+    parts = [] if texture is None else [0.4 * texture]
+    parts += [] if color is None else [0.3 * color]
+    parts += [] if visual is None else [0.15 * visual[0], 0.15 * visual[1], visual[2]]
+    return reduce(lambda x, y: x + y, parts) / len(parts) if parts else F.lit(0.0)
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -83,6 +96,68 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
     return F.when(ok, F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
 
 
+def field_terms(*values: Column) -> Column:
+    """Set of terms of string arrays: trimmed lower case, underscores as spaces, without empty ones and `unknown`."""
+    every = F.concat(*[F.coalesce(v, F.array().cast("array<string>")) for v in values])
+    plain = F.transform(F.filter(every, lambda x: x.isNotNull()), lambda x: F.replace(F.lower(F.trim(x)), F.lit("_"), F.lit(" ")))
+    return F.array_distinct(F.filter(plain, lambda x: (x != "") & (x != "unknown")))
+
+
+def field_matches(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """map<string, boolean>: for each field, whether both sides have terms and share one."""
+    parts = [x for k in a for x in (F.lit(k), F.coalesce(F.arrays_overlap(a[k], b[k]), F.lit(False)))]
+    return F.create_map(*parts)
+
+
+#: Weights of the pattern fields.
+PATTERN_WEIGHTS = {
+    "family": 0.30, "subfamily": 0.16, "collection": 0.16, "series": 0.12, "motif": 0.16, "pattern_type": 0.10, "repeat_type": 0.10, "style": 0.08, "designer_style": 0.08,
+    "brand_style": 0.06, "material_hint": 0.04, "repeat_class": 0.05, "texture_class": 0.05, "motif_class": 0.05, "complexity": 0.04, "visual_signature": 0.06,
+}
+
+
+def pattern_similarity(a: dict[str, Column], b: dict[str, Column], tags: tuple[Column, Column] | None = None) -> Column:
+    """Weighted Jaccard over the fields both sides name; tags may lift it to .7 of itself and .3 of theirs."""
+    score = reduce(lambda x, y: x + y, [w * jaccard(a[k], b[k]) for k, w in PATTERN_WEIGHTS.items() if k in a and k in b], F.lit(0.0))
+    if tags is not None:
+        both = (F.size(tags[0]) > 0) & (F.size(tags[1]) > 0)
+        score = F.when(both, F.greatest(score, 0.70 * score + 0.30 * jaccard(*tags))).otherwise(score)
+    return clamp(score)
+
+
+def near(a: Column, b: Column) -> Column:
+    """1 for equal numbers, falling to 0 at a difference of one."""
+    return 1.0 - F.least(F.lit(1.0), F.abs(a - b))
+
+
+def repeat_similarity(labels: Column, density: Column, stripe: Column, scale: Column, organic: Column) -> Column:
+    """The better of the labels' Jaccard and the likeness of four measures of the repeat."""
+    return F.greatest(labels, 0.35 * density + 0.25 * stripe + 0.20 * scale + 0.20 * organic)
+
+
+#: Weights of the ten measures of spots.
+SPOT_WEIGHTS = (0.18, 0.14, 0.08, 0.12, 0.14, 0.10, 0.08, 0.06, 0.05, 0.05)
+
+
+def spot_similarity(a: Column, b: Column) -> Column:
+    """Weighted likeness of two arrays of ten measures."""
+    weights = F.array(*[F.lit(w) for w in SPOT_WEIGHTS])
+    parts = F.zip_with(F.zip_with(a, b, lambda x, y: near(x.cast("double"), y.cast("double"))), weights, lambda x, w: x * w)
+    return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+
+
+def patch_similarity(mine: Column, theirs: Column, best_of: int = 6) -> Column:
+    """Mean of the best_of best of each query patch's best match; a match is .48 hash + .40 texture + .12 colour, scaled by
+    half and half the lesser weight. Patches are structs (hash, texture, color, weight) of numbers whose likeness is near()."""
+
+    def match(q, c):
+        return (0.48 * near(q["hash"], c["hash"]) + 0.40 * near(q["texture"], c["texture"]) + 0.12 * near(q["color"], c["color"])) * (0.5 + 0.5 * F.least(q["weight"], c["weight"]))
+
+    top = F.slice(F.sort_array(F.transform(mine, lambda q: F.array_max(F.transform(theirs, lambda c: match(q, c)))), asc=False), 1, best_of)
+    mean = F.aggregate(top, F.lit(0.0), lambda s, x: s + x) / F.size(top)
+    return F.when((F.size(mine) > 0) & (F.size(theirs) > 0), mean).otherwise(F.lit(0.0))
+
+
 def tier_a(p: Column, d: Column, w: Column) -> Column:
     return 0.40 * p + 0.25 * d + 0.15 * w + 0.20 * F.greatest(p, d, w)
 
@@ -125,12 +200,15 @@ def protected_floor(p: Column, d: Column, w: Column, same_extension: Column, is_
     )
 
 
-def duplicate_class(same_partial: Column, p: Column, d: Column, w: Column, same_color: Column, same_scale: Column) -> Column:
-    """exact, color_variant, scale_variant, near, soft or none."""
+def duplicate_class(same_partial: Column, p: Column, d: Column, w: Column, color: tuple[Column, Column], scale: tuple[Column, Column]) -> Column:
+    """exact, color_variant, scale_variant, near or none. Colours and scales differ, or agree, only where both are known."""
+    recolored, rescaled = (F.coalesce(a != b, F.lit(False)) for a, b in (color, scale))
+    alike = F.coalesce(color[0] == color[1], F.lit(False))
+    soft = (p >= 0.78) & (d >= 0.72)
     return (
-        F.when(same_partial | ((p >= 0.98) & (d >= 0.96)), "exact").when((p >= 0.88) & (d >= 0.82) & ~same_color, "color_variant")
-        .when((p >= 0.82) & (d >= 0.75) & ~same_scale, "scale_variant").when((p >= 0.90) | ((p >= 0.85) & (d >= 0.80)) | ((w >= 0.90) & (p >= 0.80)), "near")
-        .when((p >= 0.78) & (d >= 0.72), "soft").otherwise("none")
+        F.when(same_partial | ((p >= 0.98) & (d >= 0.96)), "exact").when((p >= 0.88) & (d >= 0.82) & recolored, "color_variant")
+        .when((p >= 0.82) & (d >= 0.75) & rescaled & ~recolored, "scale_variant").when((p >= 0.90) | ((p >= 0.85) & (d >= 0.80)) | ((w >= 0.90) & (p >= 0.80)), "near")
+        .when(soft & recolored, "color_variant").when(soft & rescaled, "scale_variant").when(soft & alike, "near").otherwise("none")
     )
 
 

@@ -17,6 +17,49 @@ def fold(c: Column | str) -> Column:
     return F.translate(F.lower(dotted), FOLD_FROM, FOLD_TO)
 
 
+def turkish_lower(c: Column | str) -> Column:
+    """Lower case by the Turkish rule: the dotted capital loses its dot's letter, the plain one becomes dotless."""
+    return F.lower(F.translate(col(c), "İI", "iı"))
+
+
+#: What a concept's name may end in without being another concept.
+CONCEPT_ENDINGS = ["print", "desen", "deseni", "pattern", "baski"]
+
+
+def concept_key(c: Column | str) -> Column:
+    """Key under which spellings of a concept meet: punctuation, dashes and underscores as spaces, folded, and without one
+    of CONCEPT_ENDINGS each, in their order, if more than two letters stay."""
+    plain = F.regexp_replace(F.translate(col(c), "–—-_", "    "), r"[^\p{L}\p{N}\s]+", " ")
+    key = F.trim(F.regexp_replace(F.translate(turkish_lower(plain), FOLD_FROM, FOLD_TO), r"\s+", " "))
+    for end in CONCEPT_ENDINGS:
+        key = F.when(key.endswith(" " + end) & (F.length(key) > len(end) + 3), F.trim(F.substr(key, F.lit(1), F.length(key) - len(end) - 1))).otherwise(key)
+    return key
+
+
+def brand_key(c: Column | str) -> Column:
+    """Trimmed lower case, the Turkish letters and é folded, single spaces."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(F.trim(col(c))), "çğıöşüé", "cgiosue"), r"\s+", " "))
+
+
+def customer_key(c: Column | str) -> Column:
+    """Folded, punctuation as spaces, single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(fold(c), r"[^\p{L}\p{N}\s]+", " "), r"\s+", " "))
+
+
+def name_boost(query: Column, name: Column | str) -> Column:
+    """.88 if all of the query's tokens are in the file name, .80 if the name holds the query as it is; folders play no part."""
+    stem = F.regexp_replace(F.lower(col(name)), r"\.[a-z0-9]+$", "")
+    mine = tokens(query)
+    all_there = (F.size(mine) > 0) & (F.size(F.array_except(mine, tokens(stem))) == 0)
+    return F.when(F.length(query) == 0, 0.0).when(all_there, 0.88).when(F.contains(F.lower(col(name)), query), 0.80).otherwise(0.0)
+
+
+def search_blob(*parts: Column | str) -> Column:
+    """One folded text of all parts that are not empty, each once, in order."""
+    plain = F.transform(F.array(*[F.coalesce(fold(p), F.lit("")) for p in parts]), lambda x: F.trim(F.regexp_replace(x, r"[_\-\s]+", " ")))
+    return F.array_join(F.array_distinct(F.filter(plain, lambda x: x != "")), " ")
+
+
 def tokens(c: Column | str, least: int = 2) -> Column:
     """Distinct tokens of letters a-z and digits, at least `least` long, in order of first appearance."""
     return F.array_distinct(F.filter(F.split(F.lower(col(c)), "[^a-z0-9]+"), lambda t: F.length(t) >= least))

@@ -211,6 +211,8 @@ def artifact_plan(spark, sf):
     return j.groupBy(F.col("j.artifact").alias("artifact"), F.when(F.col("j.can"), "pending").otherwise("dep_wait").alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("file_size_label", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars::VARCHAR || ' B' ELSE printf('%.1f', round(n_chars / 1024.0, 1)) || ' KB' END AS size FROM documents WHERE n_chars < 1048576")
+@register("file_size_label", """SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars::VARCHAR || ' B' WHEN n_chars < 1048576 THEN printf('%.1f', round(n_chars / 1024.0, 1)) || ' KB' WHEN n_chars < 1073741824 THEN printf('%.1f', round(n_chars / 1048576.0, 1)) || ' MB' ELSE printf('%.1f', round(n_chars / 1073741824.0, 1)) || ' GB' END AS size,
+ CASE WHEN big < 1024 THEN big::VARCHAR || ' B' WHEN big < 1048576 THEN printf('%.1f', round(big / 1024.0, 1)) || ' KB' WHEN big < 1073741824 THEN printf('%.1f', round(big / 1048576.0, 1)) || ' MB' ELSE printf('%.1f', round(big / 1073741824.0, 1)) || ' GB' END AS scaled FROM (SELECT doc_id, n_chars, n_chars * 100003 AS big FROM documents)""")
 def file_size_label(spark, sf):
-    return table(spark, sf, "documents").where("n_chars < 1048576").select("doc_id", T.file_size("n_chars").alias("size"))
+    """Readable sizes, of the texts and of a hundred thousand times as much, so that every unit comes up."""
+    return table(spark, sf, "documents").select("doc_id", T.file_size("n_chars").alias("size"), T.file_size(F.col("n_chars") * 100003).alias("scaled"))

@@ -10,6 +10,7 @@ from loomquery.operators import topk
 from loomquery.operators.components import connected_components
 from loomquery.plans.registry import register
 from loomquery.plans.scoring import _hash_sql
+from loomquery.plans.structure import _BLOCKS_SQL, _block, _shingles
 from loomquery.session import table
 
 _COS = "round(greatest(0, coalesce(list_cosine_similarity({0}, {1}), 0)), 6)"
@@ -59,11 +60,11 @@ def below_threshold(spark, sf):
     return topk.first_per_key(got, ["query_id"], F.desc("score"), "id", k=5, rank="n").select("query_id", "id", "n")
 
 
-@register("open_file_relations", """WITH d AS (SELECT doc_id, md5(text) AS h, substr(text, 1, 40) AS b, source, lang, n_chars FROM documents), q AS (SELECT doc_id AS qid, h AS qh, b AS qb, source AS qs, lang AS ql, n_chars AS qn FROM d WHERE doc_id % 20 = 0)
+@register("open_file_relations", """WITH d AS (SELECT doc_id, md5(text) AS h, b, source, lang, n_chars FROM """ + _BLOCKS_SQL + """), q AS (SELECT doc_id AS qid, h AS qh, b AS qb, source AS qs, lang AS ql, n_chars AS qn FROM d WHERE doc_id % 20 = 0)
 SELECT qid, doc_id, CASE WHEN h = qh THEN 'same' WHEN b = qb THEN 'variant' ELSE 'similar' END AS relation FROM d JOIN q ON doc_id <> qid AND (h = qh OR b = qb OR (source = qs AND lang = ql AND n_chars = qn))""")
 def open_file_relations(spark, sf):
-    """Relations of open files, each row claimed by the strongest: equal text, same beginning, same scope and size."""
-    d = table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"), F.substring("text", 1, 40).alias("b"), F.concat_ws("|", "source", "lang", "n_chars").alias("s"))
+    """Relations of open files, each row claimed by the strongest: equal text, same block of shingles, same scope and size."""
+    d = table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"), _block(_shingles()).alias("b"), F.concat_ws("|", "source", "lang", "n_chars").alias("s"))
     q = d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), *[F.col(c).alias(f"q{c}") for c in "hbs"])
     every = None
     for tier, c in enumerate("hbs"):

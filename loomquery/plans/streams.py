@@ -21,13 +21,23 @@ def stream_windows(spark, sf):
     return S.run_to_table(S.tumbling(S.stream(spark, sf, "events.parquet")), "complete", "stream-windows")
 
 
-@register("stream_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS end, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
-def stream_sessions(spark, sf):
-    """Sessions of a user with gaps of at most six hours, by the session window that streams use too."""
+_SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), x AS (SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS end, user_id, count(*) AS n FROM s GROUP BY user_id, k) SELECT * FROM x"""
+
+
+@register("session_windows", _SESSIONS)
+def session_windows(spark, sf):
+    """Sessions of a user with gaps of at most six hours, over the whole table."""
     return S.sessions(table(spark, sf, "events"))
 
 
+@register("stream_sessions", _SESSIONS + " WHERE x.end <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def stream_sessions(spark, sf):
+    """The same from a stream in append mode: a session comes out once the watermark, a day behind the newest event, has
+    passed its end."""
+    return S.run_to_table(S.sessions(S.stream(spark, sf, "events.parquet")), "append", "stream-sessions")
+
+
 @register("stream_job_state", "SELECT user_id, count(*) AS n_events, sum((event_type = 'error')::INT)::BIGINT AS errors, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY user_id")
 def stream_job_state(spark, sf):
     """Job state folded over a stream with keyed state."""
-    return S.run_to_table(S.fold_jobs(S.stream(spark, sf, "events.parquet")), "update", "stream-jobs").drop("batch", "b")
+    return S.run_to_table(S.fold_jobs(S.stream(spark, sf, "events.parquet")), "update", "stream-jobs", ["user_id"])

@@ -8,7 +8,7 @@ from loomquery.functions import kernels as K
 from loomquery.functions import text as T
 from loomquery.operators import relations, topk
 from loomquery.plans.registry import register
-from loomquery.session import table
+from loomquery.session import materialize, table
 
 
 def _md5(c="text"):
@@ -21,17 +21,36 @@ def exact_duplicates(spark, sf):
     return g.where("n > 1")
 
 
-@register("near_dup_classify", """WITH d AS (SELECT min(doc_id) AS doc_id, substr(text, 1, 40) AS block, n_chars, text, count(*) AS copies FROM documents GROUP BY text, n_chars), b AS (SELECT *, min(doc_id) OVER (PARTITION BY block) AS head, count(*) OVER (PARTITION BY block) AS k FROM d)
-SELECT b.doc_id, b.head, b.copies, CASE WHEN b.n_chars = h.n_chars THEN 'same_size' WHEN abs(b.n_chars - h.n_chars) <= 0.1 * h.n_chars THEN 'near' ELSE 'variant' END AS relation FROM b JOIN d h ON h.doc_id = b.head WHERE b.k > 1 AND b.doc_id <> b.head""")
+# Hashes of a text's shingles of five words (all of its words, if they are fewer), each once and in order. The two
+# smallest are its block: texts that share most shingles mostly share those, wherever in the text they differ.
+_SHINGLES_SQL = "list_sort(list_distinct(list_transform(range(1, greatest(len({w}) - 3, 2)), lambda i: md5(array_to_string({w}[i:i + 4], ' ')))))"
+_WORDS_SQL = "list_filter(string_split_regex(text, '[ \\t\\r\\n\\f\\x0B]+'), lambda x: x <> '')"
+_BLOCKS_SQL = f"(SELECT *, array_to_string(s[1:2], '') AS b FROM (SELECT *, {_SHINGLES_SQL.format(w='words')} AS s FROM (SELECT *, {_WORDS_SQL} AS words FROM documents)))"
+
+
+def _shingles(text="text"):
+    words = F.array_remove(F.split(text, r"[ \t\r\n\f\x0B]+"), "")
+    # through a one-element array, so that the text is parted once and not for every shingle
+    each = F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.md5(F.array_join(F.slice(w, i, F.lit(5)), " ").cast("binary"))))
+    return F.array_sort(F.array_distinct(F.flatten(each)))
+
+
+def _block(shingles):
+    return F.array_join(F.slice(shingles, 1, 2), "")
+
+
+@register("near_dup_classify", f"""WITH t AS (SELECT min(doc_id) AS doc_id, text, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text), d AS (SELECT t.doc_id, t.copies, x.s, x.b FROM t JOIN {_BLOCKS_SQL} x ON x.doc_id = t.doc_id), h AS (SELECT b, min(doc_id) AS head FROM d GROUP BY b HAVING count(*) > 1),
+j AS (SELECT d.doc_id, h.head, d.copies, len(list_intersect(d.s, e.s))::DOUBLE / len(list_distinct(list_concat(d.s, e.s))) AS jaccard FROM d JOIN h ON h.b = d.b JOIN d e ON e.doc_id = h.head WHERE d.doc_id <> h.head)
+SELECT doc_id, head, copies, round(jaccard, 6) AS jaccard, CASE WHEN jaccard >= 0.95 THEN 'near' ELSE 'variant' END AS relation FROM j WHERE jaccard >= 0.8""")
 def near_dup_classify(spark, sf):
-    """Distinct texts that share their beginning, each classed against the first of its block: links to the block's
-    head, as many as rows, instead of all pairs."""
-    d = table(spark, sf, "documents").groupBy(_md5().alias("h"), F.substring("text", 1, 40).alias("block"), "n_chars").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    head = d.groupBy("block").agg(F.min(F.struct("doc_id", "n_chars")).alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    j = d.join(head, "block").where("doc_id <> head.doc_id")
-    size = F.col("head.n_chars")
-    relation = F.when(F.col("n_chars") == size, "same_size").when(F.abs(F.col("n_chars") - size) <= 0.1 * size, "near").otherwise("variant")
-    return j.select("doc_id", F.col("head.doc_id").alias("head"), "copies", relation.alias("relation"))
+    """Distinct texts classed against the first of their block, from a likeness of .8 on: links to the block's head, as
+    many as rows, instead of all pairs."""
+    t = table(spark, sf, "documents").where("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    d = materialize(t.select("doc_id", "copies", _shingles().alias("s")).withColumn("b", _block(F.col("s"))), "shingles")
+    head = d.groupBy("b").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    theirs = d.select(F.col("doc_id").alias("head"), F.col("s").alias("head_s")).join(head, "head")
+    j = d.join(theirs, "b").where("doc_id <> head").withColumn("jaccard", K.jaccard("s", "head_s")).where("jaccard >= 0.8")
+    return j.select("doc_id", "head", "copies", F.round("jaccard", 6).alias("jaccard"), F.when(F.col("jaccard") >= 0.95, "near").otherwise("variant").alias("relation"))
 
 
 @register("phash_bucket_candidates", "WITH h AS (SELECT doc_id, md5(text) AS h FROM documents), q AS (SELECT doc_id AS qid, substr(h, 1, 2) AS b FROM h WHERE doc_id % 20 = 0) SELECT qid, doc_id FROM h JOIN q ON substr(h, 1, 2) = b AND qid <> doc_id")
@@ -74,11 +93,11 @@ def compound_and_union(spark, sf):
     return c.withColumn("one", F.lit(1)).join(F.broadcast(k), "one").where(~meet | (F.col("n") == F.col("k"))).select("doc_id", F.when(meet, "and").otherwise("union").alias("policy"))
 
 
-@register("connected_groups", """WITH RECURSIVE d AS (SELECT doc_id, md5(text) AS h, substr(text, 1, 40) AS b FROM documents), e AS (SELECT a.doc_id AS u, x.m AS v FROM d a JOIN (SELECT h, min(doc_id) AS m FROM d GROUP BY h) x USING (h) UNION SELECT a.doc_id, x.m FROM d a JOIN (SELECT b, min(doc_id) AS m FROM d GROUP BY b) x USING (b)),
+@register("connected_groups", """WITH RECURSIVE d AS (SELECT doc_id, md5(text) AS h, b FROM """ + _BLOCKS_SQL + """), e AS (SELECT a.doc_id AS u, x.m AS v FROM d a JOIN (SELECT h, min(doc_id) AS m FROM d GROUP BY h) x USING (h) UNION SELECT a.doc_id, x.m FROM d a JOIN (SELECT b, min(doc_id) AS m FROM d GROUP BY b) x USING (b)),
 s AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(id, g) AS (SELECT doc_id, doc_id FROM d UNION SELECT s.u, r.g FROM r JOIN s ON s.v = r.id) SELECT id AS doc_id, min(g) AS group_id FROM r GROUP BY id""")
 def connected_groups(spark, sf):
-    """Groups of documents that share their text or its beginning, directly or through others."""
-    d = table(spark, sf, "documents").select("doc_id", _md5().alias("h"), F.substring("text", 1, 40).alias("b"))
+    """Groups of documents that share their text or the block of their shingles, directly or through others."""
+    d = table(spark, sf, "documents").select("doc_id", _md5().alias("h"), _block(_shingles()).alias("b"))
     return relations.groups(d, ["h", "b"], "doc_id")
 
 
@@ -134,13 +153,6 @@ def best_confidence(spark, sf):
     return table(spark, sf, "lineitem").where("l_discount >= 0.05").groupBy("l_orderkey", F.col("l_returnflag").alias("label")).agg(F.max("l_discount").alias("best"))
 
 
-@register("detector_quality", f"""WITH b AS ({_BOX}), t AS (SELECT label, count(*) AS n, sum((x1 < 0.5)::INT) AS hit FROM b GROUP BY label) SELECT label, n, round(hit / n, 6) AS precision, round(hit / (n - hit / 2), 6) AS recall FROM t""")
-def detector_quality(spark, sf):
-    """Precision and recall of each class from matched counts."""
-    t = _boxes(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("box.x1") < 0.5).cast("long")).alias("hit"))
-    return t.select("label", "n", F.round(F.col("hit") / F.col("n"), 6).alias("precision"), F.round(F.col("hit") / (F.col("n") - F.col("hit") / 2), 6).alias("recall"))
-
-
 @register("kg_expand", """WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 0.9 AS w FROM nation UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 0.8 FROM nation UNION ALL SELECT DISTINCT 'n' || c_nationkey, 's' || c_mktsegment, 0.7 FROM customer),
 r(node, score, hops) AS (SELECT 'n1', 1.0::DOUBLE, 0 UNION ALL SELECT e.dst, round(r.score * e.w::DOUBLE * CASE r.hops WHEN 0 THEN 0.72 WHEN 1 THEN 0.68 ELSE 0.60 END::DOUBLE, 9), r.hops + 1 FROM r JOIN e ON e.src = r.node WHERE r.hops < 3 AND round(r.score * e.w::DOUBLE * CASE r.hops WHEN 0 THEN 0.72 WHEN 1 THEN 0.68 ELSE 0.60 END::DOUBLE, 9) >= 0.18)
 SELECT node, max(score) AS score FROM r GROUP BY node ORDER BY score DESC, node LIMIT 48""")

@@ -12,9 +12,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from loomquery.session import shared_dir
 
 
-def stream(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """A Parquet folder as a stream; its schema is that of the files there now."""
+def stream(spark: SparkSession, path: str, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet folder as a stream; its schema is that of the files there now. files_per_batch bounds a micro-batch."""
     reader = spark.readStream.schema(spark.read.parquet(f"{path}/{glob}" if glob else path).schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     got = (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
     for f in got.schema.fields:  # event time needs a time zone
         if f.dataType.simpleString() == "timestamp_ntz":
@@ -52,9 +54,9 @@ def fold_jobs(events: DataFrame) -> DataFrame:
     return events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id").applyInPandasWithState(run, out, keep, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_to_table(df: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a stream over what is there now into the shared folder and read the result back (append mode) or keep the
-    newest row of each key (update and complete modes go through foreachBatch, latest batch first)."""
+def run_to_table(df: DataFrame, mode: str, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over what is there now into the shared folder and read the result back: all rows in append mode, the
+    last batch in complete mode, and the newest row of each of `keys` in update mode."""
     import uuid
 
     spark = df.sparkSession
@@ -62,9 +64,14 @@ def run_to_table(df: DataFrame, mode: str, name: str) -> DataFrame:
     if mode == "append":
         q = df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck").outputMode("append").trigger(availableNow=True).start()
     else:
-        q = df.writeStream.foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{base}/out/b={i}")).option("checkpointLocation", f"{base}/ck").outputMode(mode).trigger(availableNow=True).start()
+        q = df.writeStream.foreachBatch(lambda b, i: b.withColumn("__batch", F.lit(i)).write.mode("overwrite").parquet(f"{base}/out/b={i}")).option("checkpointLocation", f"{base}/ck").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     if mode == "append":
         return spark.read.schema(df.schema).parquet(f"{base}/out")
     got = spark.read.parquet(f"{base}/out/b=*")
-    return got.where(F.col("batch") == got.agg(F.max("batch")).first()[0]).drop("batch") if mode == "complete" else got
+    if mode == "complete":
+        return got.where(F.col("__batch") == got.agg(F.max("__batch")).first()[0]).select(*df.columns)
+    if not keys:
+        raise ValueError("update mode needs the keys whose newest row stays")
+    newest = got.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), "__batch").alias("__row"))
+    return newest.select(*[F.col("__row").getField(c).alias(c) for c in df.columns])
