@@ -25,8 +25,6 @@ DEPTH, MIN_DOCS, MIN_FIXED = 3, 5, 0.5
 #: Leaves or templates that may be broadcast (a hash each, at most 64 bytes); beyond it the joins shuffle.
 BROADCAST_ROWS = 200_000
 
-_SPACE = r"[ \t\r\f\x0B]+"
-
 
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
@@ -36,11 +34,17 @@ def _mask(token):
     return F.when(token.rlike("[0-9]"), F.lit("<*>")).otherwise(token)
 
 
+def _tokens(line):
+    # contains, a split at one plain character and a removal are quick; translate is not, and few lines need it
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\f")) | F.contains(line, F.lit("\x0b"))
+    return F.array_remove(F.split(F.when(odd, F.translate(line, "\t\r\f\x0b", "    ")).otherwise(line), " "), "")
+
+
 def _lines(rows: DataFrame) -> DataFrame:
     """(__row, __id, same, pos, tokens, leaf) of every line that is not blank; `same` is equal for equal texts."""
     lines = rows.select("__row", "__id", F.xxhash64("__text").alias("same"), F.posexplode(F.split("__text", "\n")).alias("pos", "line"))
-    split = lines.select("__row", "__id", "same", "pos", F.filter(F.split("line", _SPACE), lambda t: t != "").alias("tokens")).where(F.size("tokens") > 0)
-    return split.withColumn("leaf", F.xxhash64(F.size("tokens"), F.transform(F.slice("tokens", 1, DEPTH), _mask)))
+    split = lines.select("__row", "__id", "same", "pos", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
+    return split.withColumn("leaf", F.xxhash64(F.size("tokens"), *[_mask(F.get("tokens", F.lit(i))) for i in range(DEPTH)]))
 
 
 def _often(pairs: DataFrame, key: str, min_docs: int) -> DataFrame:
