@@ -8,8 +8,8 @@ space of events, the passages of PASSAGE characters (extended to the end of a wo
 texts: n(t) passages have the term, n(e) the entity, n(t, e) both, of N. PMI(t; e) = log2(N n(t, e) / (n(t) n(e))) is
 how much of the entity's information IC(e) = log2(N / n(e)) the term carries. Terms whose share PMI / IC reaches REMOVE
 are removed wherever a text that holds the entity has them; from GENERALISE on they are generalised. Texts without the
-entity keep the term. A pair needs SUPPORT different lines of the entity as evidence; copies of a text or of a line
-count once. An entity on fewer lines than that takes the evidence of its class: the domain of an address, the first two
+entity keep the term. A pair needs two different lines of the entity as evidence, from two passages; copies of a text or of a
+line count once. An entity on a single line takes the evidence of its class: the domain of an address, the first two
 parts of an IP, the first six digits of a card, the first four of a phone number. Values are compared in lower case
 and without the separators of their digits.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from loomquery.llm.common import packed, restored
 from loomquery.session import materialize
 
-PASSAGE, SUPPORT, GENERALISE, REMOVE = 400, 2, 0.6, 0.9
+PASSAGE, GENERALISE, REMOVE = 400, 0.6, 0.9
 #: Terms that may be broadcast to the count over all documents (a few tens of bytes each); beyond it they are shuffled.
 BROADCAST_TERMS = 200_000
 
@@ -96,8 +96,7 @@ def _passages(text: Column) -> Column:
 
 def _lines(texts: DataFrame) -> DataFrame:
     """(__key, no, text, at) of the lines that hold any pattern."""
-    some = texts.where(" or ".join(f"__text rlike r'{p}'" for p in PATTERNS.values()))
-    return _placed(some, F.split("__text", "\n"), 1).where(" or ".join(f"text rlike r'{p}'" for p in PATTERNS.values()))
+    return _placed(texts.where("some"), F.split("__text", "\n"), 1).where(" or ".join(f"text rlike r'{p}'" for p in PATTERNS.values()))
 
 
 def base_spans(lines: DataFrame) -> DataFrame:
@@ -122,8 +121,8 @@ def entity_class(kind: Column, value: Column) -> Column:
 
 def words_around(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """(__key, no, entity, class, line, term, s, e) of the base spans, and of the words without digits outside them, in
-    every text with a span; no is the passage in which they start."""
-    held = materialize(_placed(texts.join(spans.select("__key").distinct(), "__key", "left_semi"), _passages(F.col("__text")), 0), "pii-passages")
+    every text that a pattern matches; no is the passage in which they start."""
+    held = materialize(_placed(texts.where("some"), _passages(F.col("__text")), 0), "pii-passages")
     words = _located(held, _matches("text", "word", WORD), ["__key", "no", "at"]).where((F.length("m") >= 3) & ~F.col("m").rlike("[0-9]"))
     starts = held.select("__key", F.lit(0).alias("what"), "no", F.col("at").alias("s"), F.col("at").alias("e"))
     named = spans.select("__key", F.lit(1).alias("what"), entity(F.col("kind"), F.col("value")).alias("entity"), entity_class(F.col("kind"), F.col("value")).alias("class"), "line", "s", "e")
@@ -136,18 +135,26 @@ def words_around(texts: DataFrame, spans: DataFrame) -> DataFrame:
     return placed.where(free).select("__key", "no", "entity", "class", "line", "term", "s", "e")
 
 
+def passages_held(around: DataFrame) -> DataFrame:
+    """(targets array<struct<target, line>>, terms array<string>) of every passage with a span. A target is an entity
+    or its class, once a passage, with the line on which the passage has it first."""
+    here = F.when(F.col("entity").isNotNull(), F.struct("s", "entity", "class", "line"))
+    held = around.groupBy("__key", "no").agg(F.sort_array(F.collect_list(here)).alias("found"), F.collect_set("term").alias("terms")).where(F.size("found") > 0)
+    names = F.array_distinct(F.flatten(F.transform("found", lambda x: F.array(x["entity"], x["class"]))))
+    first = F.transform(names, lambda t: F.struct(t.alias("target"), F.filter("found", lambda x: (x["entity"] == t) | (x["class"] == t))[0]["line"].alias("line")))
+    return held.select(first.alias("targets"), "terms")
+
+
 def disclosing(texts: DataFrame, around: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(target, term, share, action), the terms that reveal an entity or a class, and (target, n_e, lines); from counts
-    over all passages."""
-    spots = around.where("entity is not null").select("__key", "no", "line", F.explode(F.array("entity", "class")).alias("target")).distinct()
-    spots = materialize(spots, "pii-spots")
-    n_e = spots.groupBy("target").agg(F.countDistinct("__key", "no").alias("n_e"), F.countDistinct("line").alias("lines"))
+    """(target, term, share, action), the terms that reveal an entity or a class, and (target, n_e, few); from counts
+    over all passages. few says that the target is on a single line."""
+    held = materialize(passages_held(around), "pii-held")
+    spots = held.select(F.explode("targets").alias("x"), "terms").select("x.target", "x.line", "terms")
+    n_e = spots.groupBy("target").agg(F.count(F.lit(1)).alias("n_e"), (F.min("line") == F.max("line")).alias("few"))
     n_e = materialize(n_e, "pii-entities")
-    here = around.where("term is not null").select("__key", "no", "term").distinct()
-    near = materialize(spots.join(here, ["__key", "no"]), "pii-near")
-    lines = near.select("target", "term", "line").distinct().groupBy("target", "term").agg(F.count(F.lit(1)).alias("lines")).where(F.col("lines") >= SUPPORT).select("target", "term")
-    both = near.select("target", "term", "__key", "no").distinct().groupBy("target", "term").agg(F.count(F.lit(1)).alias("n_te"))
-    pairs = materialize(both.join(lines, ["target", "term"]), "pii-pairs")
+    both = spots.select("target", "line", F.explode("terms").alias("term")).groupBy("target", "term")
+    pairs = both.agg(F.count(F.lit(1)).alias("n_te"), F.min("line").alias("a"), F.max("line").alias("z")).where("a <> z").select("target", "term", "n_te")
+    pairs = materialize(pairs, "pii-pairs")
     # the empty term is put into every passage, so that its count is that of all passages
     terms = pairs.select("term").distinct().union(texts.sparkSession.createDataFrame([("",)], "term string"))
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
@@ -164,20 +171,26 @@ def disclosing(texts: DataFrame, around: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def all_spans(texts: DataFrame) -> DataFrame:
-    """(__key, kind, s, e) of base and added spans, with offsets in the text. texts: __key and __text, each text once."""
+    """(__key, kind, s, e) of base and added spans, with offsets in the text. texts: as keyed_texts() gives."""
     spans = materialize(base_spans(materialize(_lines(texts), "pii-lines")), "pii-spans")
     around = materialize(words_around(texts, spans), "pii-words")
     found, n_e = disclosing(texts, around)
     held = around.where("entity is not null").select("__key", "entity", "class").distinct()
     # a class speaks for its entities that have too few lines of their own
-    own = held.join(n_e.select(F.col("target").alias("entity"), "lines"), "entity")
-    speaks = own.select("__key", F.when(F.col("lines") >= SUPPORT, F.col("entity")).otherwise(F.col("class")).alias("target")).distinct()
+    own = held.join(n_e.select(F.col("target").alias("entity"), "few"), "entity")
+    speaks = own.select("__key", F.when(F.col("few"), F.col("class")).otherwise(F.col("entity")).alias("target")).distinct()
     terms = around.where("term is not null").join(found.select("term").distinct(), "term", "left_semi")
     terms = materialize(terms.select("__key", "term", "s", "e"), "pii-revealing")
     marked = terms.select("__key", "term").distinct().join(speaks, "__key").join(found.select("target", "term", "action"), ["target", "term"]).groupBy("__key", "term").agg(F.max("action").alias("kind"))
     return spans.select("__key", "kind", "s", "e").unionByName(terms.join(marked, ["__key", "term"]).select("__key", "kind", "s", "e"))
 
 
+def keyed_texts(texts: DataFrame) -> DataFrame:
+    """(__key, __text, some) of distinct texts; some says whether any pattern matches."""
+    some = F.expr(" or ".join(f"__text rlike r'{p}'" for p in PATTERNS.values()))
+    return texts.select(F.unhex(F.md5("__text")).alias("__key"), "__text", some.alias("some"))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("__key"), *packed(docs, id_col, text_col))
 
@@ -186,7 +199,7 @@ def spans_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(__key, spans array<struct<o, s, e, kind>>) by kind as listed, then start, of each text with a span."""
     order = F.element_at(F.create_map(*[F.lit(x) for kv in _ORDER.items() for x in kv]), F.col("kind"))
     texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text")).distinct()
-    got = all_spans(materialize(texts.select(F.unhex(F.md5("__text")).alias("__key"), "__text"), "pii-texts"))
+    got = all_spans(materialize(keyed_texts(texts), "pii-texts"))
     per_text = got.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "s", "e", "kind"))).alias("spans"))
     return materialize(per_text, "pii-rows")
 

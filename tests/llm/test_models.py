@@ -218,7 +218,7 @@ def test_pii_shares_equal_plain_counts(spark):
         texts.append(f"{say(rng.randrange(5, 90))} {near} {say(3)} {who} {say(rng.randrange(5, 90))}\n{say(9)}" if i % 3 else say(60))
     texts += texts[:40] + [None, "", "Zorblax elsewhere"]  # copies must change nothing
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    n, n_t, n_e, n_te, lines, lines_te = 0, {}, {}, {}, {}, {}
+    n, n_t, n_e, n_te, lines_te = 0, {}, {}, {}, {}
     for t in sorted({t for t in texts if t}):
         at = 0
         spans = [(k, m.start(), m.end(), m[0]) for k, p in KINDS.items() for m in re.finditer(p, t) if valid(k, m[0])]
@@ -229,18 +229,16 @@ def test_pii_shares_equal_plain_counts(spark):
             here = [s for s in spans if m.start() <= s[1] < m.end()]
             terms = {x[0].lower() for x in re.finditer(word.replace("\\x60", "\\x40\\x5B-\\x60"), m[0]) if len(x[0]) >= 3 and not re.search("[0-9]", x[0])
                      and not any(s < m.start() + x.end() and m.start() + x.start() < e for _, s, e, _ in spans)}
-            named = set()
-            for k, s, _, v in here:
+            named = {}
+            for k, s, _, v in sorted(here, key=lambda x: x[1]):
                 line = t[t.rfind("\n", 0, s) + 1 :].split("\n")[0]
                 digits = re.sub("[^0-9]", "", v)
                 for target in (f"{k}:{v.lower() if k == 'email' else digits}", f"class:{k}:{v[v.index('@'):].lower() if k == 'email' else digits[:4]}"):
-                    named.add(target)
-                    lines.setdefault(target, set()).add(line)
-                    for w in terms:
-                        lines_te.setdefault((target, w), set()).add(line)
-            for target in named:
+                    named.setdefault(target, line)
+            for target, line in named.items():
                 n_e[target] = n_e.get(target, 0) + 1
                 for w in terms:
+                    lines_te.setdefault((target, w), set()).add(line)
                     n_te[target, w] = n_te.get((target, w), 0) + 1
     want = {}
     for (e, w), both in n_te.items():
@@ -248,7 +246,7 @@ def test_pii_shares_equal_plain_counts(spark):
         if len(lines_te[e, w]) >= 2 and share >= pii.GENERALISE:
             want[e, w] = (round(float(share), 9), "remove" if share >= pii.REMOVE else "generalise")
     docs = frame(spark, texts)
-    keyed = docs.select(F.coalesce("text", F.lit("")).alias("__text")).distinct().select(F.unhex(F.md5("__text")).alias("__key"), "__text")
+    keyed = pii.keyed_texts(docs.select(F.coalesce("text", F.lit("")).alias("__text")).distinct())
     spans = pii.base_spans(pii._lines(keyed))
     found, _ = pii.disclosing(keyed, pii.words_around(keyed, spans))
     got = {(r["target"], r["term"]): (round(r["share"], 9), r["action"]) for r in found.collect()}
