@@ -35,11 +35,12 @@ def test_vectors(spark):
 def test_ladders(spark):
     f = lambda *x: [F.lit(float(y)) for y in x]
     t, n = F.lit(True), F.lit(False)
-    assert one(spark, K.duplicate_class(n, *f(0.99, 0.97, 0), t, t)) == "exact"
-    assert one(spark, K.duplicate_class(n, *f(0.89, 0.83, 0), n, t)) == "color_variant"
-    assert one(spark, K.duplicate_class(n, *f(0.83, 0.76, 0), t, n)) == "scale_variant"
-    assert one(spark, K.duplicate_class(n, *f(0.86, 0.81, 0), t, t)) == "near"
-    assert one(spark, K.duplicate_class(n, *f(0.1, 0.1, 0.1), t, t)) == "none"
+    same, other = (F.lit("a"), F.lit("a")), (F.lit("a"), F.lit("b"))
+    assert one(spark, K.duplicate_class(n, *f(0.99, 0.97, 0), same, same)) == "exact"
+    assert one(spark, K.duplicate_class(n, *f(0.89, 0.83, 0), other, same)) == "color_variant"
+    assert one(spark, K.duplicate_class(n, *f(0.83, 0.76, 0), same, other)) == "scale_variant"
+    assert one(spark, K.duplicate_class(n, *f(0.86, 0.81, 0), same, same)) == "near"
+    assert one(spark, K.duplicate_class(n, *f(0.1, 0.1, 0.1), same, same)) == "none"
     assert one(spark, K.protected_floor(*f(0.96, 0.91, 0), t, n)) == 0.95
     assert one(spark, K.protected_floor(*f(0.96, 0.91, 0), n, n)) == 0.90
     assert one(spark, K.classical(*f(0.99, 0, 0, 0, 0))) == 0.98
@@ -59,7 +60,7 @@ def test_text(spark):
 
 def test_adaptive():
     assert [topk.adaptive_k(k, 11769) for k in (800, 1600, 6400, 11769)] == [1600, 3200, 11769, None]
-    assert topk.should_stop(0, 0.9, 0.9) and topk.should_stop(5, 0.5, 0.9) and not topk.should_stop(5, 0.8, 0.9)
+    assert topk.should_stop(0, 0.9, 0.9, 5, 0.9, 0.4) and topk.should_stop(5, 0.5, 0.9, 5, 0.9, 0.4) and not topk.should_stop(5, 0.8, 0.9, 5, 0.9, 0.4)
 
 
 def test_box_relations(spark):
