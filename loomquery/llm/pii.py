@@ -39,6 +39,8 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
+#: What a text or a line must match to hold a valid span: the digits that a card and a phone number need at least.
+SIGNS = PATTERNS | {"card": r"[0-9](?:[ -]?[0-9]){12}", "phone": r"\+[0-9](?:[ ().-]*+[0-9]){8}"}
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SPANS = "array<struct<o:int,s:bigint,e:bigint,kind:string>>"
@@ -95,8 +97,8 @@ def _passages(text: Column) -> Column:
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    """(__key, no, text, at) of the lines that hold any pattern."""
-    return _placed(texts.where("some"), F.split("__text", "\n"), 1).where(" or ".join(f"text rlike r'{p}'" for p in PATTERNS.values()))
+    """(__key, no, text, at) of the lines that may hold a span."""
+    return _placed(texts.where("some"), F.split("__text", "\n"), 1).where(" or ".join(f"text rlike r'{p}'" for p in SIGNS.values()))
 
 
 def base_spans(lines: DataFrame) -> DataFrame:
@@ -121,7 +123,7 @@ def entity_class(kind: Column, value: Column) -> Column:
 
 def words_around(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """(__key, no, entity, class, line, term, s, e) of the base spans, and of the words without digits outside them, in
-    every text that a pattern matches; no is the passage in which they start."""
+    every text that may hold one; no is the passage in which they start."""
     held = materialize(_placed(texts.where("some"), _passages(F.col("__text")), 0), "pii-passages")
     words = _located(held, _matches("text", "word", WORD), ["__key", "no", "at"]).where((F.length("m") >= 3) & ~F.col("m").rlike("[0-9]"))
     starts = held.select("__key", F.lit(0).alias("what"), "no", F.col("at").alias("s"), F.col("at").alias("e"))
@@ -186,8 +188,8 @@ def all_spans(texts: DataFrame) -> DataFrame:
 
 
 def keyed_texts(texts: DataFrame) -> DataFrame:
-    """(__key, __text, some) of distinct texts; some says whether any pattern matches."""
-    some = F.expr(" or ".join(f"__text rlike r'{p}'" for p in PATTERNS.values()))
+    """(__key, __text, some) of distinct texts; some says whether a text may hold a span."""
+    some = F.expr(" or ".join(f"__text rlike r'{p}'" for p in SIGNS.values()))
     return texts.select(F.unhex(F.md5("__text")).alias("__key"), "__text", some.alias("some"))
 
 
