@@ -115,21 +115,25 @@ def telling_pairs(feats: list[list[int]], y: np.ndarray, n_terms: int) -> np.nda
     """Which of the terms 0..n_terms-1 belong to a pair whose texts' rate differs from what the terms add up to."""
     if not n_terms:
         return np.zeros(0, dtype=bool)
-    both, pos = np.zeros((n_terms, n_terms)), np.zeros((n_terms, n_terms))
-    for lo in range(0, len(feats), 2_000):
-        some = feats[lo : lo + 2_000]
+    both, pos = (np.zeros((n_terms, n_terms), dtype=np.float32) for _ in range(2))  # counts, exact up to 2^24 texts
+    for lo in range(0, len(feats), 1_000):
+        some = feats[lo : lo + 1_000]
         x = np.zeros((len(some), n_terms), dtype=np.float32)
         for i, f in enumerate(some):
             x[i, f] = 1
         both += x.T @ x
-        hit = x[y[lo : lo + 2_000] > 0]
+        hit = x[y[lo : lo + 1_000] > 0]
         pos += hit.T @ hit
     logit = lambda k, n: np.log((k + 0.5) / (n - k + 0.5))
-    alone = logit(np.diag(pos), np.diag(both))
-    e = 1 / (1 + np.exp(-np.clip(alone[:, None] + alone[None, :] - logit(y.sum(), len(y)), -30, 30)))
-    z = np.abs(pos - both * e) / np.sqrt(np.maximum(both * e * (1 - e), 1.0))
-    tested = (both >= MIN_DF) & ~np.eye(n_terms, dtype=bool)
-    return ((z >= PAIR_Z) & tested).any(axis=1)
+    alone = logit(np.diag(pos).astype(float), np.diag(both).astype(float))
+    out = np.zeros(n_terms, dtype=bool)
+    for lo in range(0, n_terms, 200):  # a few rows at once, so that the driver holds no further matrices
+        n, k = both[lo : lo + 200].astype(float), pos[lo : lo + 200].astype(float)
+        e = 1 / (1 + np.exp(-np.clip(alone[lo : lo + 200, None] + alone[None, :] - logit(y.sum(), len(y)), -30, 30)))
+        z = np.abs(k - n * e) / np.sqrt(np.maximum(n * e * (1 - e), 1.0))
+        z[np.arange(len(z)), np.arange(lo, lo + len(z))] = 0
+        out[lo : lo + 200] = ((z >= PAIR_Z) & (n >= MIN_DF)).any(axis=1)
+    return out
 
 
 def fit(sample: DataFrame) -> Machine:
