@@ -216,7 +216,7 @@ def piecewise(x: Column, anchors: list[tuple[float, float]], digits: int = 4) ->
     """Linear interpolation between (x, y) anchors, constant beyond them."""
     out = F.when(x <= anchors[0][0], F.lit(anchors[0][1]))
     for (x0, y0), (x1, y1) in zip(anchors, anchors[1:]):
-        out = out.when(x <= x1, F.lit(y0) + (x - x0) * ((y1 - y0) / (x1 - x0)))
+        out = out.when(x <= x1, F.lit(y0) + (x - x0) / (x1 - x0) * (y1 - y0))
     return F.round(out.otherwise(F.lit(anchors[-1][1])), digits)
 
 
@@ -299,3 +299,102 @@ def fine_detail(a: Column, b: Column) -> Column:
     """(cosine + 1) / 2 of two signatures; 0 where a norm vanishes."""
     scale = norm(a) * norm(b)
     return F.when(scale > 1e-8, (dot(a, b) / scale + 1.0) / 2.0).otherwise(F.lit(0.0))
+
+
+#: Cosine of a text and a picture, and the relevance it stands for.
+TEXT_ANCHORS = [(0.0, 0.0), (0.16, 0.10), (0.20, 0.22), (0.24, 0.36), (0.28, 0.48), (0.32, 0.60), (0.36, 0.70), (0.40, 0.78), (0.46, 0.86), (0.55, 0.90), (1.0, 0.93)]
+#: Palettes and animal prints that count as alike.
+BROWN_PALETTES = ["brown_tan", "orange", "yellow"]
+LEOPARDS = ["leopard", "jaguar", "cheetah"]
+ANIMALS = ["leopard", "jaguar", "cheetah", "tiger", "zebra", "snake", "crocodile", "cow", "unknown_animal"]
+#: Colour groups and the affinity of two colours of one group, tried in this order.
+COLOR_GROUPS = [
+    (["red", "orange", "coral", "yellow", "gold", "burgundy", "pink", "magenta"], 0.72),
+    (["navy", "indigo", "royal_blue", "sky_blue", "teal", "turquoise", "mint", "emerald", "purple", "lavender"], 0.72),
+    (["brown", "beige", "cream", "olive", "khaki", "forest", "earth"], 0.75),
+    (["black_white", "grayscale", "black", "white", "cream"], 0.80),
+]
+#: Root families that exclude each other.
+FAMILY_CONFLICTS = [("animal_print", "floral"), ("animal_print", "plaid_check"), ("animal_print", "geometric"), ("animal_print", "plain"), ("animal_print", "marble_abstract"), ("floral", "camouflage"), ("floral", "plaid_check")]
+
+
+def text_calibration(cosine: Column) -> Column:
+    """Relevance that a cosine of text and picture stands for."""
+    return piecewise(F.greatest(F.lit(0.0), F.coalesce(cosine, F.lit(0.0))), TEXT_ANCHORS, 4)
+
+
+def _named(c: Column) -> Column:
+    return c.isNotNull() & (c != "") & (c != "unknown")
+
+
+def palette_similarity(a: Column, b: Column) -> Column:
+    same = F.when(a == b, 1.0).when(a.isin(BROWN_PALETTES) & b.isin(BROWN_PALETTES), 0.85).when((a == "black_white") & (b == "grayscale"), 0.75)
+    return F.when(_named(a) & _named(b), same.otherwise(0.2)).otherwise(0.5)
+
+
+def animal_similarity(a: Column, b: Column) -> Column:
+    """Likeness of two kinds of animal print; the first is the query's."""
+    known = a.isNotNull() & (a != "") & b.isNotNull() & (b != "")
+    big_cat = F.when(b.isin(LEOPARDS), 0.9).when(b == "tiger", 0.75).when(b.isin("zebra", "snake", "crocodile", "cow"), 0.55)
+    kind = F.when(a == b, 1.0).when(a.isin(LEOPARDS) & big_cat.isNotNull(), big_cat).when(a.isin(ANIMALS) & b.isin(ANIMALS), 0.5)
+    return F.when(known, kind.otherwise(0.15)).otherwise(0.3)
+
+
+def texture_family_score(same_family: Column, blob: tuple[Column, Column], stripe: tuple[Column, Column], scale: tuple[Column, Column], animal: Column) -> Column:
+    form = sum((w * (1 - F.abs(a - b)) for w, (a, b) in ((0.35, stripe), (0.25, scale))), 0.4 * (1 - F.abs(blob[0] - blob[1])))
+    return F.least(F.lit(1.0), 0.4 * F.when(same_family, 0.7).otherwise(0.25) + 0.35 * form + 0.25 * animal)
+
+
+def hierarchy_score(visual: Column, patch: Column, texture_family: Column, palette: Column, animal: Column) -> Column:
+    return F.least(F.lit(1.0), 0.30 * visual + 0.25 * patch + 0.20 * texture_family + 0.15 * palette + 0.10 * animal)
+
+
+def color_affinity(a: Column, b: Column) -> Column:
+    """Affinity of two colour names; unnamed ones have none."""
+    out = F.when(~(a.isNotNull() & (a != "") & b.isNotNull() & (b != "")), 0.0).when(a == b, 1.0)
+    for names, score in COLOR_GROUPS:
+        out = out.when(a.isin(names) & b.isin(names), score)
+    return out.otherwise(0.18)
+
+
+def family_affinity(a: Column, b: Column, roots: tuple[Column, Column], parents: tuple[Column, Column]) -> Column:
+    """Affinity of two families by their own names, their roots and their parents."""
+    (ra, rb), (pa, pb) = roots, parents
+    clash = F.lit(False)
+    for x, y in FAMILY_CONFLICTS:
+        clash = clash | ((ra == x) & (rb == y)) | ((ra == y) & (rb == x))
+    kin = F.when(a == b, 1.0).when((ra == rb) & ~ra.isin("unknown", "plain"), 0.82).when((pa != "") & (pa == pb), 0.70)
+    return F.when(_named(a) & _named(b), kin.when(clash, 0.05).when(ra != rb, 0.15).otherwise(0.35)).otherwise(0.0)
+
+
+def knowledge_boost(family: Column, motif: Column, color: Column, text: Column) -> Column:
+    return F.least(F.lit(1.0), 0.45 * family + 0.30 * motif + 0.15 * color + 0.10 * text)
+
+
+def unified_text(base: Column, clip: Column, extra: Column, structure: Column, semantic: Column, exact: Column, relation: Column, grade_bonus: Column, margin: Column, rival: Column) -> Column:
+    """Relevance of a row to a text. relation tells the families apart: same, other, or unknown on the row's side.
+
+    A cosine of .20 makes the picture lead, and rows whose picture does not win are capped; below that the strongest
+    visual channel, then the written evidence decide, and an exact label without a picture stands by itself."""
+    shown, evidence = text_calibration(clip), F.greatest(exact, semantic)
+    wins = (shown >= 0.80) | (clip >= 0.55)
+    form = F.when(relation == "same", structure).otherwise(0.0)
+    winner = F.greatest(shown, 0.82 * shown + 0.10 * extra + 0.08 * form)
+    mixed = 0.42 * shown + 0.16 * extra + 0.12 * form + 0.10 * semantic + 0.08 * evidence
+    plain_cap = F.when(relation == "other", 0.48).when(clip >= 0.32, F.when((relation == "unknown") & (extra < 0.40), 0.55).otherwise(0.58)).otherwise(0.50)
+    winner_cap = F.when((relation == "other") & (extra < 0.40), 0.56).otherwise(1.0)
+    seen = F.when(wins, F.least(winner, winner_cap)).otherwise(F.least(mixed, plain_cap))
+    v = F.greatest(clip, 0.55 * extra)
+    unseen = (
+        F.when(v >= 0.75, F.greatest(0.90 * v + 0.10 * evidence, 0.55 * v + 0.25 * evidence + 0.20 * base))
+        .when(v >= 0.55, 0.62 * v + 0.20 * evidence + 0.18 * base).when(v >= 0.30, 0.45 * v + 0.30 * evidence + 0.25 * base).otherwise(0.62 * evidence + 0.38 * base)
+    )
+    labelled = F.when(exact >= 0.88, F.greatest(unseen, 0.78 * exact + 0.22 * base)).otherwise(unseen)
+    penalty = 0.25 * F.greatest(F.lit(0.0), rival - F.greatest(F.lit(0.0), clip - 0.08))
+    return clamp(F.when(clip >= 0.20, seen).otherwise(labelled) + 0.65 * grade_bonus + 0.02 * F.greatest(F.lit(0.0), margin) - penalty)
+
+
+def learning_decision(top: Column, second: Column, verified: Column, near_negative: Column) -> Column:
+    """auto, candidate or ignore, from a row's best two concepts, a user's own label and a negative example close by."""
+    close = (second >= top - 0.05) & (second >= 0.72)
+    return F.when(verified, "ignore").when(near_negative, "candidate").when((top >= 0.82) & (second < 0.82) & ~close, "auto").when(top >= 0.72, "candidate").otherwise("ignore")

@@ -112,3 +112,30 @@ def file_size(c: Column | str) -> Column:
     n = col(c).cast("double")
     unit = lambda d, s: F.concat(F.format_string("%.1f", n / d), F.lit(" " + s))
     return F.when(n < 1024, F.concat(F.format_string("%d", col(c).cast("long")), F.lit(" B"))).when(n < 1024**2, unit(1024.0, "KB")).when(n < 1024**3, unit(1024.0**2, "MB")).otherwise(unit(1024.0**3, "GB"))
+
+
+#: Parts of a share's name that tell a backup store.
+STORE_MARKS = ["NAS", "BACKUP", "YEDEK", "ARCHIVE", "ARŞIV", "ARSIV"]
+
+
+def source_root(path: Column | str) -> Column:
+    r"""Canonical root: backslashes, one between parts, a share with two in front, none at the end."""
+    raw = F.replace(F.trim(col(path)), F.lit("/"), F.lit("\\"))
+    parts = F.array_join(F.filter(F.split(raw, r"\\"), lambda x: x != ""), "\\")
+    return F.when(raw.startswith("\\"), F.concat(F.lit("\\\\"), parts)).otherwise(parts)
+
+
+def source_type(path: Column | str) -> Column:
+    """local_pc, server_share or nas_backup, from the root."""
+    root = source_root(path)
+    store = F.lit(False)
+    for mark in STORE_MARKS:
+        store = store | F.upper(root).contains(mark)
+    return F.when(~root.startswith("\\\\"), "local_pc").when(store, "nas_backup").otherwise("server_share")
+
+
+def phrases(c: Column | str, longest: int = 3) -> Column:
+    """Distinct runs of one to `longest` words of folded text: what whole-phrase aliases can be joined on."""
+    words = F.filter(F.split(fold(c), "[^a-z0-9]+"), lambda w: w != "")
+    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i, n=n: F.array_join(F.slice(words, i, n), " ")) for n in range(1, longest + 1)]
+    return F.array_distinct(F.filter(F.concat(*runs), lambda x: x != ""))

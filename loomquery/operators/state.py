@@ -74,3 +74,26 @@ def claim_fair(jobs: DataFrame, source: str, limit: int, *order: Column | str) -
 def feedback_score(score: Column, delta: Column, wrong: Column) -> Column:
     """Score after feedback: wrong results sink to .12 at most, others move by their delta."""
     return F.when(wrong, F.least(score, F.lit(0.12))).otherwise(clamp(score + F.coalesce(delta, F.lit(0.0))))
+
+
+def latest_or_cleared(events: DataFrame, keys: list[str], ts: str, tie: str, value: str, is_clear: Column) -> DataFrame:
+    """Each key's newest value; keys whose newest event is a clear have none and are left out."""
+    newest = F.max(F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), is_clear.alias("clear"), F.col(value).alias("value")))
+    return events.groupBy(*keys).agg(newest.alias("__n")).where("not __n.clear").select(*keys, F.col("__n.value").alias(value))
+
+
+def one_way_status(events: DataFrame, keys: list[str], at: Column, kind: Column) -> DataFrame:
+    """Pipeline status from events `processing`, `done`, `failed` and `reset`: done and failed stay until a reset, whatever
+    else starts; a start counts only since then. Other events change nothing."""
+    fixed = kind.isin("done", "failed", "reset")
+    last, since, busy = F.max_by(F.when(fixed, kind), F.when(fixed, at)), F.max(F.when(fixed, at)), F.max(F.when(kind == "processing", at))
+    status = F.when(last.isin("done", "failed"), last).when(busy.isNotNull() & (since.isNull() | (busy > since)), "processing").otherwise("pending")
+    return events.groupBy(*keys).agg(status.alias("status"))
+
+
+def audit_findings(events: DataFrame, keys: list[str], at: Column, status: Column, *fields: str) -> DataFrame:
+    """Findings of an audit by their newest event; one that was resolved or dismissed is not reopened by a pending one."""
+    settled = F.max_by(F.when(status != "pending", status), F.when(status != "pending", at))
+    newest = F.max_by(status, at)
+    kept = F.when((newest == "pending") & settled.isin("resolved", "dismissed"), settled).otherwise(newest)
+    return events.groupBy(*keys).agg(kept.alias("status"), *[F.max_by(f, at).alias(f) for f in fields])

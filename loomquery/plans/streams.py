@@ -41,3 +41,10 @@ def stream_sessions(spark, sf):
 def stream_job_state(spark, sf):
     """Job state folded over a stream with keyed state."""
     return S.run_to_table(S.fold_jobs(S.stream(spark, sf, "events.parquet")), "update", "stream-jobs", ["user_id"])
+
+
+@register("stream_discovery", "SELECT o_orderkey, a.artifact, a.priority FROM orders, (VALUES ('THUMBNAIL', 0), ('PREVIEW', 1), ('HASHES', 2)) a(artifact, priority) WHERE o_orderkey % 3 <> 0")
+def stream_discovery(spark, sf):
+    """Files that a stream finds and the archive does not know become jobs."""
+    known = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select("o_orderkey")
+    return S.run_to_table(S.discover(S.stream(spark, sf, "orders.parquet"), known, "o_orderkey", ["THUMBNAIL", "PREVIEW", "HASHES"]), "append", "stream-discovery")

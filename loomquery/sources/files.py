@@ -12,11 +12,12 @@ FORMATS = {"raster": ["jpg", "jpeg", "png", "bmp", "webp", "gif"], "layered": ["
 
 
 def scan_folder(spark: SparkSession, path: str, extensions: list[str] | None = None, ignored: list[str] | None = None) -> DataFrame:
-    """(path, file_size, mtime) of the files below a folder, by extension, without ignored path parts; contents are not read."""
+    """(path, file_size, mtime) of the files below a folder, by extension in any case, without paths that hold an ignored
+    part; contents are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if extensions:
-        reader = reader.option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
     got = reader.load(path).select("path", F.col("length").alias("file_size"), F.col("modificationTime").alias("mtime"))
+    if extensions:
+        got = got.where(extension("path").isin([e.lower() for e in extensions]))
     for part in ignored or []:
         got = got.where(~F.col("path").contains(part))
     return got

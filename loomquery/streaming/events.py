@@ -54,6 +54,13 @@ def fold_jobs(events: DataFrame) -> DataFrame:
     return events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id").applyInPandasWithState(run, out, keep, "update", GroupStateTimeout.NoTimeout)
 
 
+def discover(files: DataFrame, known: DataFrame, key: str, artifacts: list[str]) -> DataFrame:
+    """Jobs for the files of a stream that are not known yet: one a file and artifact, in the artifacts' order."""
+    fresh = files.join(known.select(key), key, "left_anti")
+    jobs = F.explode(F.array(*[F.struct(F.lit(a).alias("artifact"), F.lit(i).alias("priority")) for i, a in enumerate(artifacts)]))
+    return fresh.select(key, jobs.alias("__job")).select(key, "__job.artifact", "__job.priority")
+
+
 def run_to_table(df: DataFrame, mode: str, name: str, keys: list[str] | None = None) -> DataFrame:
     """Run a stream over what is there now into the shared folder and read the result back: all rows in append mode, the
     last batch in complete mode, and the newest row of each of `keys` in update mode."""

@@ -144,3 +144,50 @@ def test_shared_folder_is_asked_for_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_store_versions_appends_and_report(spark, tmp_path):
+    from loomquery.sources import files, store
+
+    root = str(tmp_path / "v")
+    store.publish(spark.createDataFrame([(1, "a")], "id int, x string"), root, 1)
+    spark.createDataFrame([(9, "half")], "id int, x string").write.parquet(f"{root}/data/never-announced")
+    store.publish(spark.createDataFrame([], "id int, x string"), root, 0)
+    assert [tuple(r) for r in store.current(spark, root).collect()] == [(1, "a")]
+    path = str(tmp_path / "a")
+    store.append_new(spark.createDataFrame([(1, "b"), (1, "a"), (2, None)], "id int, x string"), path, "id")
+    store.append_new(spark.createDataFrame([(2, "late"), (3, "c")], "id int, x string"), path, "id", spark.read.parquet(path))
+    assert sorted(map(tuple, spark.read.parquet(path).collect()), key=str) == [(1, "a"), (2, None), (3, "c")]
+    html = store.report_rows(spark.createDataFrame([("<a&b>", None)], "x string, y int"), "x", "y").first()[0]
+    assert html == "<tr><td>&lt;a&amp;b&gt;</td><td></td></tr>"
+    for name in ("a.TIF", "b.tif", "sub/c.tif", "cache/d.tif", "e.txt"):
+        (tmp_path / "s" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "s" / name).write_bytes(b"12345")
+    got = files.scan_folder(spark, str(tmp_path / "s"), ["tif"], ["/cache/"]).collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.file_size) for r in got) == [("a.TIF", 5), ("b.tif", 5), ("c.tif", 5)]
+
+
+def test_stable_order_and_limits(spark):
+    from loomquery.operators import ordering
+
+    rows = [("q", 1, 0.90, 3), ("q", 2, 0.88, 1), ("q", 3, 0.87, 2), ("q", 4, 0.86, None), ("q", 5, None, 0), ("r", 6, 0.5, None)]
+    df = spark.createDataFrame(rows, "q string, id int, score double, prior int")
+    got = {(r.q, r.id): r.place for r in ordering.stable_order(df, ["q"], "id", "score", "prior").collect()}
+    # .90 and .88 are one band; .87 lies a full tolerance lower and opens the next with .86, whose prior is not known.
+    assert got == {("q", 2): 1, ("q", 1): 2, ("q", 3): 3, ("q", 4): 4, ("r", 6): 1}
+    assert ordering.stable_order(df.limit(0), ["q"], "id", "score", "prior").count() == 0
+    lim = spark.range(1, 1001).select(ordering.within_limit(F.col("id"), F.lit(900)).alias("a"), ordering.within_limit(F.col("id"), F.lit(0)).alias("b")).groupBy().agg(F.sum(F.col("a").cast("int")), F.sum(F.col("b").cast("int"))).first()
+    assert tuple(lim) == (800, 1000)
+
+
+def test_statuses_that_stay(spark):
+    from loomquery.operators import state
+
+    ev = [("a", 1, "processing"), ("a", 2, "done"), ("a", 3, "processing"), ("b", 1, "failed"), ("b", 2, "reset"), ("b", 3, "processing"), ("c", 1, "processing"), ("c", 2, "reset"), ("d", 1, "note")]
+    df = spark.createDataFrame(ev, "k string, t int, kind string")
+    assert {r.k: r.status for r in state.one_way_status(df, ["k"], F.col("t"), F.col("kind")).collect()} == {"a": "done", "b": "processing", "c": "pending", "d": "pending"}
+    au = [("a", 1, "resolved", 1.0), ("a", 2, "pending", 2.0), ("b", 1, "snoozed", 1.0), ("b", 2, "pending", 3.0), ("c", 1, "pending", 4.0)]
+    got = state.audit_findings(spark.createDataFrame(au, "k string, t int, s string, v double"), ["k"], F.col("t"), F.col("s"), "v").collect()
+    assert {r.k: (r.status, r.v) for r in got} == {"a": ("resolved", 2.0), "b": ("pending", 3.0), "c": ("pending", 4.0)}
+    cl = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("b", 1, None), ("b", 2, "y")], "k string, t int, v string")
+    assert [tuple(r) for r in state.latest_or_cleared(cl, ["k"], "t", "t", "v", F.col("v").isNull()).collect()] == [("b", "y")]
