@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomquery.plans import affinity, archive, assets, jobs, ranking, scoring, search, soft, streams, structure, textual, vectors  # noqa: F401
+from loomquery.plans import affinity, archive, assets, hierarchy, jobs, ranking, scoring, search, soft, streams, structure, textual, vectors  # noqa: F401
 from loomquery.plans.registry import QUERIES, SQL, Query
 
 

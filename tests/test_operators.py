@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomquery.functions import kernels as K
-from loomquery.operators import relations, topk
+from loomquery.operators import hierarchy, relations, topk
 from loomquery.session import shared_dir
 from loomquery.streaming import events as S
 
@@ -191,3 +191,53 @@ def test_statuses_that_stay(spark):
     assert {r.k: (r.status, r.v) for r in got} == {"a": ("resolved", 2.0), "b": ("pending", 3.0), "c": ("pending", 4.0)}
     cl = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("b", 1, None), ("b", 2, "y")], "k string, t int, v string")
     assert [tuple(r) for r in state.latest_or_cleared(cl, ["k"], "t", "t", "v", F.col("v").isNull()).collect()] == [("b", "y")]
+
+
+def test_tree_ranking_case_by_case(spark):
+    base = {"own": 0.0, "child": 0.0, "rival": 0.0, "distractor": 0.0, "win": False, "strong": False, "conflict": False, "named": False, "indexed": False, "card": False, "leaf": True, "hard": True, "scored": False}
+    cases = [  # what is seen, then tier, evidence and place, or None for a row that goes
+        ({"own": 0.31, "rival": 0.1}, ("exact", "exact", 0)),
+        ({"own": 0.31, "rival": None}, ("very_similar", "family", 1)),
+        ({"own": 0.28, "rival": 0.2}, ("very_similar", "family", 1)),
+        ({"own": 0.31, "rival": 0.30}, ("same_family", "family", 3)),
+        ({"own": 0.10, "rival": 0.30}, ("same_family", "unknown", 5)),
+        ({"own": 0.10, "rival": 0.30, "scored": True}, None),
+        ({"own": 0.10, "rival": 0.10}, ("semantic", "unknown", 5)),
+        ({"own": 0.10, "distractor": 0.30}, None),
+        ({"own": 0.10, "distractor": 0.30, "named": True}, ("semantic", "mismatch", 6)),
+        ({"own": 0.10, "distractor": 0.30, "indexed": True, "scored": True}, ("semantic", "semantic", 4)),
+        ({"own": 0.10, "card": True}, ("semantic", "semantic", 4)),
+        ({"own": 0.23, "rival": 0.0, "hard": False, "scored": True}, ("very_similar", "family", 1)),
+        ({"own": 0.10, "hard": False, "win": True, "scored": True}, ("very_similar", "family", 1)),
+        ({"child": 0.30, "leaf": False, "scored": True}, ("same_family", "family", 3)),
+        ({"own": 0.10, "leaf": False, "hard": False, "win": True}, ("same_family", "family", 3)),
+        ({"own": 0.10, "leaf": False, "win": True, "scored": True}, None),
+    ]
+    rows = [(i, 0.5, *{**base, **seen}.values()) for i, (seen, _) in enumerate(cases)]
+    kinds = ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'double'}" for k, v in base.items())
+    df = spark.createDataFrame(rows, f"id int, score double, {kinds}")
+    c = F.col
+    e = hierarchy.Seen(*[c(k) for k in ("own", "child", "rival", "distractor", "win", "strong", "conflict", "named", "indexed", "card")])
+    got = hierarchy.ranked_by_tree(df, e, c("leaf"), c("hard"), c("scored"), F.lit(False), [], "score", ["id"])
+    assert {r.id: (r.tier, r.evidence, r.place) for r in got.collect()} == {i: want for i, (_, want) in enumerate(cases) if want}
+    leaves = [i for i, (seen, want) in enumerate(cases) if want and seen.get("leaf", True)]
+    assert [r.id for r in got.where("rank is not null").orderBy("rank").collect()] == sorted(leaves, key=lambda i: (cases[i][1][2], i))
+
+
+def test_concept_verdicts_case_by_case(spark):
+    c = F.col
+    two = spark.createDataFrame([(1, 0.3, 0.25, 0.5, False), (2, 0.3, 0.25, 0.95, False), (3, 0.3, 0.1, 0.5, False), (4, 0.3, 0.1, 0.0, False), (5, 0.3, 0.25, 0.5, True), (6, 0.1, None, 0.5, False)], "id int, a double, b double, text double, photo boolean")
+    met = [F.coalesce(c(k) >= hierarchy.PATTERN_MIN, F.lit(False)) for k in "ab"]
+    v = hierarchy.composition([c("a"), c("b")], met, c("text"), c("photo"))
+    got = hierarchy.best_verdicts(two, v, [], ["id"], 20)
+    assert [(r.id, r.score, r.bucket) for r in got.orderBy("rank").collect()] == [(2, 0.96, 0), (1, 0.58, 0), (3, 0.41, 1)]
+    one = spark.createDataFrame(
+        [(1, 0.40, 0.1, 0.0, False, True, False), (2, 0.10, 0.1, 0.9, False, False, False), (3, 0.21, 0.3, 0.4, False, False, False), (4, 0.30, 0.3, 0.0, False, True, True), (5, 0.10, 0.0, 0.0, False, False, False), (6, 0.30, 0.0, 0.2, True, True, False)],
+        "id int, own double, other double, text double, photo boolean, motif boolean, mixed boolean",
+    )
+    shown = hierarchy.Shown(*[c(k) for k in ("own", "other", "text", "photo", "motif", "mixed")])
+    verdict = lambda *kind: {r.id: (r.score, r.bucket, r.reason) for r in hierarchy.best_verdicts(one, hierarchy.single(shown, *[F.lit(k) for k in kind]), [], ["id"], 400).collect()}
+    plain = {1: (0.78, 0, "pure"), 2: (0.58, 0, "kept_by_text"), 3: (0.4, 1, "kept_by_text"), 4: (0.296, 1, "part_of_composite"), 6: (0.54, 0, "pure")}
+    assert verdict(False, False, False) == plain
+    assert verdict(True, False, True) == {k: plain[k] for k in (1, 4)}
+    assert verdict(False, True, False) == {6: (0.3, 0, "photograph")}
