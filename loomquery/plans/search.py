@@ -11,7 +11,7 @@ from loomquery.operators.components import connected_components
 from loomquery.plans.registry import register
 from loomquery.plans.scoring import _hash_sql
 from loomquery.plans.structure import _BLOCKS_SQL, _block, _shingles
-from loomquery.session import materialize, table
+from loomquery.session import materialize, spread, table
 
 _COS = "round(greatest(0, coalesce(list_cosine_similarity({0}, {1}), 0)), 6)"
 _IMG = f"""WITH a AS (SELECT doc_id AS id, embedding[1:32]::DOUBLE[] AS dino, embedding[33:64]::DOUBLE[] AS clip, substr(md5(text), 1, 16) AS phash, label AS family FROM documents JOIN embeddings ON doc_id = vec_id),
@@ -64,7 +64,7 @@ def below_threshold(spark, sf):
 SELECT qid, doc_id, CASE WHEN h = qh THEN 'same' WHEN b = qb THEN 'variant' ELSE 'similar' END AS relation FROM d JOIN q ON doc_id <> qid AND (h = qh OR b = qb OR (source = qs AND lang = ql AND n_chars = qn))""")
 def open_file_relations(spark, sf):
     """Relations of open files, each row claimed by the strongest: equal text, same block of shingles, same scope and size."""
-    d = table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"), _block(_shingles()).alias("b"), F.concat_ws("|", "source", "lang", "n_chars").alias("s"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text", "source", "lang", "n_chars")).select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"), _block(_shingles()).alias("b"), F.concat_ws("|", "source", "lang", "n_chars").alias("s"))
     d = materialize(d, "file-keys")  # texts are read once, not once a tier and side
     q = d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), *[F.col(c).alias(f"q{c}") for c in "hbs"])
     every = None

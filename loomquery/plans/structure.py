@@ -8,7 +8,7 @@ from loomquery.functions import kernels as K
 from loomquery.functions import text as T
 from loomquery.operators import relations, topk
 from loomquery.plans.registry import register
-from loomquery.session import materialize, table
+from loomquery.session import materialize, spread, table
 
 
 def _md5(c="text"):
@@ -97,7 +97,7 @@ def compound_and_union(spark, sf):
 s AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(id, g) AS (SELECT doc_id, doc_id FROM d UNION SELECT s.u, r.g FROM r JOIN s ON s.v = r.id) SELECT id AS doc_id, min(g) AS group_id FROM r GROUP BY id""")
 def connected_groups(spark, sf):
     """Groups of documents that share their text or the block of their shingles, directly or through others."""
-    d = materialize(table(spark, sf, "documents").select("doc_id", _md5().alias("h"), _block(_shingles()).alias("b")), "blocks")  # texts are read once, not once a key
+    d = materialize(spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", _md5().alias("h"), _block(_shingles()).alias("b")), "blocks")  # texts are read once, not once a key
     return relations.groups(d, ["h", "b"], "doc_id")
 
 

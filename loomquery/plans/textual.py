@@ -8,7 +8,7 @@ from loomquery.functions import kernels as K
 from loomquery.functions import text as T
 from loomquery.operators import topk
 from loomquery.plans.registry import register
-from loomquery.session import table
+from loomquery.session import spread, table
 
 _FOLD = f"translate(lower(translate(trim({{0}}), 'İI', 'ii')), '{T.FOLD_FROM}', '{T.FOLD_TO}')"
 _TOKENS = "list_distinct(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda t: len(t) >= 2))"
@@ -56,7 +56,7 @@ SELECT item_id, doc_id, round(len(list_intersect(t, u)) / len(list_distinct(list
 def token_jaccard(spark, sf):
     """Token overlap of every benchmark item with every document: shared tokens are counted by an equi-join on the
     token, and the union's size follows from the two set sizes, so no pair without a shared token is made."""
-    d = table(spark, sf, "documents").select("doc_id", T.tokens("text").alias("t"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.tokens("text").alias("t"))
     q = table(spark, sf, "benchmark").select("item_id", T.tokens("text").alias("u"))
     qt = q.select("item_id", F.size("u").alias("nu"), F.explode("u").alias("token"))
     shared = d.select("doc_id", F.size("t").alias("nt"), F.explode("t").alias("token")).join(qt, "token").groupBy("item_id", "doc_id", "nt", "nu").agg(F.count(F.lit(1)).alias("both"))

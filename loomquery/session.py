@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables under this size may come as one row group, which is one task however many cores there are.
+FEW_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small table dealt out over all cores, ahead of costly work on texts; larger ones have splits enough."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < FEW_BYTES else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary folder stands in on a
     local master (tests); on a cluster no executor would see it, so that raises."""

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomquery import session
 from loomquery.functions import kernels as K
 from loomquery.operators import hierarchy, relations, topk
 from loomquery.session import shared_dir
@@ -241,3 +242,11 @@ def test_concept_verdicts_case_by_case(spark):
     assert verdict(False, False, False) == plain
     assert verdict(True, False, True) == {k: plain[k] for k in (1, 4)}
     assert verdict(False, True, False) == {6: (0.3, 0, "photograph")}
+
+
+def test_spread_deals_out_small_tables_only(spark, monkeypatch):
+    df = spark.range(0, 1000, 1, 1)
+    assert session.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in session.spread(df).collect()) == list(range(1000))
+    monkeypatch.setattr(session, "FEW_BYTES", 8)
+    assert session.spread(df).rdd.getNumPartitions() == 1
