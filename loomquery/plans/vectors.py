@@ -140,7 +140,7 @@ def concept_neighbours(spark, sf):
     def best(cond, name):
         # a neighbour or a penalty counts from .2 on, so nothing under that has to leave the workers
         examples = pool.where(cond).select(F.col("vec_id").alias("example"), F.col("embedding").alias("example_vec"))
-        near = topk.compared(examples, rest, "example", "vec_id", {"sim": ("example_vec", "embedding")}, lambda m: m["sim"], floor=0.2)
+        near = topk.compared(examples, rest, "example", "vec_id", {"sim": ("example_vec", "embedding")}, "sim", floor=0.2)
         return near.groupBy("vec_id").agg(F.max("sim").alias(name))
 
     got = best("vec_id % 40 = 0", "sim").join(best("vec_id % 40 = 20", "neg"), "vec_id", "left")

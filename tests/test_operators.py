@@ -43,6 +43,38 @@ def test_compared_with_missing_vectors_ties_and_many_blocks(spark, monkeypatch):
     assert topk.knn(q.limit(0), df, 7).count() == 0 and topk.knn(q, df.limit(0), 7).count() == 0
 
 
+def test_rough_scores_give_the_same_best_rows(spark, monkeypatch):
+    """Blended hashes with ties and copies over many blocks: all of the best, and the score worked out for few pairs."""
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(-(2**63), 2**63 - 1, size=(300, 2))
+    hashes[100:180] = hashes[100]
+    rows = [(i, int(a), None if i == 7 else int(b)) for i, (a, b) in enumerate(hashes)]
+    df = spark.createDataFrame(rows, "doc_id long, p long, d long").repartition(3)
+    q = df.where("doc_id % 10 = 0").select(F.col("doc_id").alias("qid"), F.col("p").alias("q_p"), F.col("d").alias("q_d"))
+    scored = spark.sparkContext.accumulator(0)
+
+    def blend(m):
+        scored.add(m["p"].size)
+        return np.round(0.6 * m["p"] + 0.4 * m["d"], 10)
+
+    like = lambda a, b: 0.0 if a is None or b is None else 1 - ((a ^ b) & (2**64 - 1)).bit_count() / 64
+    want = []
+    for qi, qp, qd in rows[::10]:
+        best = sorted((-round(0.6 * like(qp, p) + 0.4 * like(qd, d), 10), i) for i, p, d in rows if i != qi)[:4]
+        want += [(qi, i, -s, n + 1) for n, (s, i) in enumerate(best)]
+    written = []
+    monkeypatch.setattr(topk, "materialize", lambda df, name="t": written.append(name) or session.materialize(df, name))
+    for queries, block in ((2048, 4096), (8, 16)):
+        monkeypatch.setattr(topk, "QUERIES", queries)
+        monkeypatch.setattr(topk, "ROWS", block)
+        got = topk.compared(q, df, "qid", "doc_id", {c: (f"q_{c}", c) for c in "pd"}, blend, k=4, measure="hash", rough=lambda m: 6 * m["p"] + 4 * m["d"])
+        before = scored.value
+        assert sorted((r["qid"], r["doc_id"], r["score"], r["rank"]) for r in got.collect()) == sorted(want)
+        if block == 4096:
+            assert scored.value - before < 30 * 300 / 2
+    assert "compared" not in written  # what blocks of queries find is not written on its way
+
+
 def test_expanding_search_stops_for_a_reason(spark):
     pool = spark.read.parquet(f"{SF}/embeddings.parquet")
     q = pool.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
