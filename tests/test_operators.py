@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomquery import session
 from loomquery.functions import kernels as K
 from loomquery.operators import hierarchy, relations, topk
+from loomquery.plans import catalogue
 from loomquery.session import shared_dir
 from loomquery.streaming import events as S
 
@@ -75,6 +76,48 @@ def test_rough_scores_give_the_same_best_rows(spark, monkeypatch):
     assert "compared" not in written  # what blocks of queries find is not written on its way
 
 
+def test_best_by_label_makes_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(i, [None, 3, 4, 9][i % 4], v) for i, v in enumerate(rng.normal(size=(90, 6)).tolist())]
+    rows += [(90, 3, None), (91, 5, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (100, 77, [-x for x in rows[0][2]]), (None, 3, rows[0][2])]
+    df = spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>").repartition(3)
+    q = df.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    unit = lambda v: np.zeros(6) if v is None or None in v else np.array(v) / np.linalg.norm(v)
+    want = {}
+    for qi, _, qv in (r for r in rows if r[0] is not None and r[0] % 10 == 0):
+        for i, label, v in rows:
+            if i is not None and i != qi:
+                want[qi, label] = max(want.get((qi, label), 0.0), round(max(0.0, float(unit(qv) @ unit(v))), 6))
+    assert (100, 77) not in want and want[10, 77] >= 0  # a label that only the query's own row has gives no row
+    for queries, tile, kept in ((2048, 1 << 20, 1 << 22), (4, 16, 8)):
+        monkeypatch.setattr(topk, "QUERIES", queries)
+        monkeypatch.setattr(topk, "TILE", tile)
+        monkeypatch.setattr(topk, "KEPT", kept)
+        got = topk.best_by_label(q, df, "query_id", "query_vec", "vec_id", "embedding", "label").collect()
+        assert sorted(map(repr, (tuple(r) for r in got))) == sorted(repr((*k, v)) for k, v in want.items())
+
+
+def test_rivals_and_identities_take_the_best_of_a_label_in_the_workers(spark):
+    for name in ("rival_demotion", "two_stage_identity"):
+        plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        # the comparison gives query, label and best: no row of the pool comes out of it
+        assert [x for x in plan.splitlines() if "MapInArrow" in x and "best" in x and "vec_id" not in x.split("]")[0].split("[")[-1]]
+
+
+def test_pools_of_one_part_are_compared_by_all_cores(spark, monkeypatch):
+    """Both channels of vector_boost_fusion, and a floor over several blocks of queries, which are not written between."""
+    pool = spark.read.parquet(f"{SF}/embeddings.parquet").coalesce(1)
+    q = pool.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    written = []
+    monkeypatch.setattr(topk, "materialize", lambda df, name="t": written.append(name) or session.materialize(df, name))
+    one = topk.compared(q, pool, "query_id", "vec_id", {"sim": ("query_vec", "embedding")}, lambda m: m["sim"], floor=0.1)
+    assert one.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    many = topk.compared(q, pool, "query_id", "vec_id", {"sim": ("query_vec", "embedding")}, "sim", floor=0.1)
+    assert written.count("compared") == 0 and "score" not in many.columns
+    assert sorted(map(tuple, many.collect())) == sorted(tuple(r)[:3] for r in one.collect())
+
+
 def test_expanding_search_stops_for_a_reason(spark):
     pool = spark.read.parquet(f"{SF}/embeddings.parquet")
     q = pool.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
