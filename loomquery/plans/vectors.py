@@ -124,9 +124,9 @@ SELECT query_id, label, best, best >= 0.25 AS accepted FROM bb""")
 def two_stage_identity(spark, sf):
     """Identities whose centroid passes a gate, then their best exemplar; accepted at a threshold."""
     pool = table(spark, sf, "embeddings")
-    gate = topk.best_of_few(_queries(pool), _centres(pool)).where(K.cosine("query_vec", "v") >= 0.05).select("query_id", "query_vec", "label")
-    best = pool.where("vec_id % 20 <> 0").join(gate, "label").groupBy("query_id", "label").agg(F.round(F.max(K.cosine("query_vec", "embedding")), 6).alias("best"))
-    return best.withColumn("accepted", F.col("best") >= 0.25)
+    gate = topk.best_of_few(_queries(pool), _centres(pool)).where(K.cosine("query_vec", "v") >= 0.05).select("query_id", "label")
+    best = topk.best_by_label(_queries(pool), pool.where("vec_id % 20 <> 0"), "query_id", "query_vec", "vec_id", "embedding", "label")
+    return best.join(gate, ["query_id", "label"], "left_semi").withColumn("accepted", F.col("best") >= 0.25)
 
 
 @register("concept_neighbours", f"""WITH pos AS (SELECT * FROM embeddings WHERE vec_id % 40 = 0), neg AS (SELECT * FROM embeddings WHERE vec_id % 40 = 20), rest AS (SELECT * FROM embeddings WHERE vec_id % 20 <> 0),
