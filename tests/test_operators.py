@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomquery import session
 from loomquery.functions import kernels as K
 from loomquery.operators import hierarchy, relations, topk
-from loomquery.plans import catalogue
+from loomquery.plans import catalogue, structure
 from loomquery.session import shared_dir
 from loomquery.streaming import events as S
 
@@ -118,6 +118,19 @@ def test_pools_of_one_part_are_compared_by_all_cores(spark, monkeypatch):
     assert sorted(map(tuple, many.collect())) == sorted(tuple(r)[:3] for r in one.collect())
 
 
+def test_near_copies_are_classed_without_writing_shingles(spark, tmp_path, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    texts = {1: " ".join(words), 2: " ".join(words), 3: " ".join([*words, "more"]), 4: " ".join(words[:100]), 5: None, 6: "", 7: " ".join([*words[:-1], "other"])}
+    rows = [(i, t, "en", "src1", len(t or "")) for i, t in texts.items()]
+    spark.createDataFrame([*rows, rows[2]], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    written = []
+    monkeypatch.setattr(structure, "materialize", lambda df, name="t": written.append(df.schema) or session.materialize(df, name))
+    got = sorted(tuple(r) for r in catalogue.queries()["near_dup_classify"](spark, str(tmp_path)).collect())
+    # text 3 stands in the table twice, texts 1 and 2 are one text; 396 shingles, of which a last word changes or adds one
+    assert got == [(3, 1, 2, round(396 / 397, 6), "near"), (7, 1, 1, round(395 / 397, 6), "near")]
+    assert written and not any(f.dataType.simpleString().startswith("array") or f.name == "text" for schema in written for f in schema)
+
+
 def test_expanding_search_stops_for_a_reason(spark):
     pool = spark.read.parquet(f"{SF}/embeddings.parquet")
     q = pool.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
