@@ -151,6 +151,21 @@ def test_expanding_search_stops_for_a_reason(spark):
         assert [r["vec_id"] for r in mine] == [i for _, i in sims[: min(size, len(sims))]]
 
 
+def test_expanding_search_lets_out_only_the_bands_of_its_ranks(spark, monkeypatch):
+    pool = spark.read.parquet(f"{SF}/embeddings.parquet")
+    q = pool.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    vecs = {r["vec_id"]: np.array(r["embedding"], dtype=float) for r in pool.collect()}
+    got = topk._bands(q, pool, "query_id", "query_vec", "vec_id", "embedding").collect()
+    for qi in {r["query_id"] for r in got}:
+        sims = [round(max(0.0, float(vecs[qi] @ v)), 6) for i, v in vecs.items() if i != qi]
+        for r in (r for r in got if r["query_id"] == qi):
+            assert r["n"] == sum(int(s * topk.BINS) == r["band"] for s in sims) and r["through"] == sum(int(s * topk.BINS) >= r["band"] for s in sims)
+    let_out, plain = [], topk.compared
+    monkeypatch.setattr(topk, "compared", lambda *a, **kw: let_out.append(plain(*a, **kw)) or let_out[-1])
+    topk.expanding(q, pool, 20, 0.25)
+    assert 20 * q.count() <= let_out[0].count() < 40 * q.count()  # not 20 of each query from every task
+
+
 def test_should_stop():
     assert topk.should_stop(0, None, None, 0, 0, 0.4) == "no_new_ids"
     assert topk.should_stop(5, 0.3, 0.5, 5, 0.9, 0.4) == "similarity_drop"
