@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomquery.functions import kernels as K
 from loomquery.operators import relations, topk
 from loomquery.plans.registry import register
-from loomquery.session import table
+from loomquery.session import materialize, spread, table
 
 _COS = "greatest(0, coalesce(list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]), 0))"
 
@@ -55,11 +55,12 @@ a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, vec_id
 SELECT query_id, vec_id, round(CASE WHEN rd <= 50 THEN 0.35 * d ELSE 0 END + CASE WHEN rc <= 50 THEN 0.25 * c ELSE 0 END, 9) AS boost FROM a WHERE rd <= 50 OR rc <= 50""")
 def vector_boost_fusion(spark, sf):
     """Weighted sum of two channels' top-50 lists, the halves of a vector standing for the two models."""
-    pool = table(spark, sf, "embeddings")
+    pool = materialize(spread(table(spark, sf, "embeddings").select("vec_id", "embedding")), "boost-pool")
     parts = []
     for at, weight in ((1, 0.35), (33, 0.25)):
         half = pool.select("vec_id", F.slice("embedding", at, 32).alias("embedding"))
-        parts.append(topk.knn(_queries(half), half, 50).select("query_id", "vec_id", (F.col("sim") * weight).alias("part")))
+        near = topk.compared(_queries(half), half, "query_id", "vec_id", {"sim": ("query_vec", "embedding")}, "sim", k=50, dealt=True)
+        parts.append(near.select("query_id", "vec_id", (F.col("sim") * weight).alias("part")))
     return parts[0].union(parts[1]).groupBy("query_id", "vec_id").agg(F.round(F.sum("part"), 9).alias("boost"))
 
 

@@ -118,6 +118,39 @@ def test_pools_of_one_part_are_compared_by_all_cores(spark, monkeypatch):
     assert sorted(map(tuple, many.collect())) == sorted(tuple(r)[:3] for r in one.collect())
 
 
+def test_best_rows_are_sought_in_single_precision(spark, monkeypatch):
+    """Copies, opposite, missing and zero vectors over many tiles: the best by double precision, which few pairs see."""
+    rng = np.random.default_rng(17)
+    vecs = rng.normal(size=(2000, 8))
+    vecs[300:340] = vecs[300]  # ties far beyond k
+    vecs[420:460] = vecs[20] + 1e-7 * rng.normal(size=(40, 8))  # apart by less than single precision tells
+    vecs[700] = 0
+    vecs[1980:] = -vecs[:20]
+    rows = [(i, None if i == 5 else [float(x) for x in v]) for i, v in enumerate(vecs)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    q = df.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    unit = vecs / np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-300)
+    unit[5] = 0
+    want = []
+    for qi in range(0, 2000, 20):
+        sims = np.round(np.maximum(unit @ unit[qi], 0), 6)
+        best = sorted((-sims[i], i) for i in range(2000) if i != qi)[:7]
+        want += [(qi, i, -s, n + 1) for n, (s, i) in enumerate(best)]
+    in_double = spark.sparkContext.accumulator(0)
+    read, compare, *rest = topk.MEASURES["cosine"]
+
+    def counted(a, b):
+        in_double.add(len(a[0]) * len(b[0]))
+        return compare(a, b)
+
+    monkeypatch.setitem(topk.MEASURES, "cosine", (read, counted, *rest))
+    monkeypatch.setattr(topk, "TILE", 100 * 20)
+    got = sorted(map(tuple, topk.knn(q, df, 7).select("query_id", "vec_id", "sim", "rank").collect()))
+    assert [(a, b, n) for a, b, _, n in got] == [(a, b, n) for a, b, _, n in sorted(want)]
+    assert np.allclose([r[2] for r in got], [r[2] for r in sorted(want)], atol=1e-9)
+    assert 0 < in_double.value < 2000 * 100 / 2
+
+
 def test_near_copies_are_classed_without_writing_shingles(spark, tmp_path, monkeypatch):
     words = [f"w{i}" for i in range(400)]
     texts = {1: " ".join(words), 2: " ".join(words), 3: " ".join([*words, "more"]), 4: " ".join(words[:100]), 5: None, 6: "", 7: " ".join([*words[:-1], "other"])}
