@@ -2,6 +2,7 @@
 
 import datetime
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +152,25 @@ def test_best_rows_are_sought_in_single_precision(spark, monkeypatch):
     assert 0 < in_double.value < 2000 * 100 / 2
 
 
+@pytest.mark.parametrize("name", ["hybrid_text_boost"])
+def test_pairs_over_a_floor_leave_in_order_of_score(spark, tmp_path, monkeypatch, name):
+    """As many rows as by SQL, a missing label among them, in runs of rising scores, which take less room written."""
+    rng = np.random.default_rng(23)
+    rows = [(i, [float(x) for x in rng.normal(size=64) + 0.3], None if i in (40, 77) else int(i % 3)) for i in range(1200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(catalogue.oracle_sql()[name]).fetchall()
+    for queries, run in ((2048, 1 << 22), (32, 1000)):
+        monkeypatch.setattr(topk, "QUERIES", queries)
+        monkeypatch.setattr(topk, "RUN", run)
+        df = catalogue.queries()[name](spark, str(tmp_path)).select("query_id", "vec_id", "score")
+        parts = [[tuple(r) for r in part] for part in df.rdd.glom().collect()]
+        assert sorted(r for part in parts for r in part) == sorted(want) and len(want) > 10_000
+        falls = sum(a[2] > b[2] for part in parts for a, b in zip(part, part[1:]))
+        assert falls <= sum(len(part) // run for part in parts)
+
+
 def test_near_copies_are_classed_without_writing_shingles(spark, tmp_path, monkeypatch):
     words = [f"w{i}" for i in range(400)]
     texts = {1: " ".join(words), 2: " ".join(words), 3: " ".join([*words, "more"]), 4: " ".join(words[:100]), 5: None, 6: "", 7: " ".join([*words[:-1], "other"])}
