@@ -152,7 +152,7 @@ def test_best_rows_are_sought_in_single_precision(spark, monkeypatch):
     assert 0 < in_double.value < 2000 * 100 / 2
 
 
-@pytest.mark.parametrize("name", ["hybrid_text_boost"])
+@pytest.mark.parametrize("name", ["hybrid_text_boost", "unified_relevance"])
 def test_pairs_over_a_floor_leave_in_order_of_score(spark, tmp_path, monkeypatch, name):
     """As many rows as by SQL, a missing label among them, in runs of rising scores, which take less room written."""
     rng = np.random.default_rng(23)
