@@ -219,6 +219,15 @@ def test_expanding_search_lets_out_only_the_bands_of_its_ranks(spark, monkeypatc
     assert 20 * q.count() <= let_out[0].count() < 40 * q.count()  # not 20 of each query from every task
 
 
+def test_expanding_search_goes_on_past_a_million_rows(spark):
+    """Rows that all stay relevant end with the whole pool, however large it is."""
+    n = (1 << 20) + 1000
+    pool = spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id") % 100 / 400.0).alias("embedding"))
+    q = pool.where("vec_id = 100").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    got = topk.expanding(q, pool, 300_000, 0.25).groupBy("why").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("ids"), F.max("rank").alias("last"), F.max("round").alias("steps"))
+    assert [tuple(r) for r in got.collect()] == [("whole_pool", n - 1, n - 1, n - 1, 3)]
+
+
 def test_should_stop():
     assert topk.should_stop(0, None, None, 0, 0, 0.4) == "no_new_ids"
     assert topk.should_stop(5, 0.3, 0.5, 5, 0.9, 0.4) == "similarity_drop"
