@@ -235,6 +235,24 @@ def test_should_stop():
     assert [topk.adaptive_k(800, 5000), topk.adaptive_k(100, 5000), topk.adaptive_k(4000, 5000), topk.adaptive_k(5000, 5000)] == [1600, 900, 5000, None]
 
 
+def test_detector_quality_on_missing_values_and_shared_numbers(spark, tmp_path):
+    """As by its SQL where numbers are a file's own; else as by its SQL with ties broken by the corners, in any row order."""
+    rng = np.random.default_rng(29)
+    sql = catalogue.oracle_sql()["detector_quality"]
+    some = lambda x, share: None if rng.random() < share else x
+    for n, shared in enumerate((False, True)):
+        share = 0 if shared else 0.06
+        rows = [(some(int(f), share), some(int(rng.integers(1, 5)) if shared else i, share), some("AN"[int(rng.integers(2))], share), some(float(rng.integers(1, 50)), share), some(float(rng.integers(0, 11)) / 100, share), some(float(rng.integers(0, 9)) / 100, share)) for f in range(150) for i in range(1, 25)]
+        rows.append((None, None, "only without a number", 1.0, 0.0, 0.0))
+        path = f"{tmp_path}/{n}"
+        spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double, l_discount double, l_tax double").repartition(5).write.parquet(f"{path}/lineitem.parquet")
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{path}/lineitem.parquet/*.parquet'")
+        want = con.sql(sql.replace("ORDER BY i)", "ORDER BY i, x1, y1, x2, y2)") if shared else sql)
+        got = catalogue.queries()["detector_quality"](spark, path).select(*want.columns).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
 def test_leader_clusters_of_whole_groups(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet")
     want = {}
